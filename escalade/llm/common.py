@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -96,36 +97,77 @@ def text_chunks(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[in
         yield start, len(texts)
 
 
+#: The printable stand-ins that byte-level vocabularies use for bytes, by their rule.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_STAND_IN = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
+#: A unit of one run of plain letters and one of plain punctuation: two pre-tokens under both vocabularies.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!#$%&()*+,\-./:;<=>?@\[\]^_`{|}~]*)")
+
+_RUN = re.compile(r" \s|\s ")
+
+
 class UnitEncoder:
     """A tokenizers file with a bounded cache by space-separated unit.
 
     Both pre-tokenizers in use never join characters across a single space that starts a unit, so the ids of
-    a text are those of its units in order. Texts with runs of spaces go through the library as a whole.
+    a text are those of its units in order. A unit of plain letters and plain punctuation goes to the library's model
+    as its two pre-tokens, any other one through the whole library. So do texts with a space beside other white space.
     """
 
-    LIMIT = 400_000
+    LIMIT = 600_000
+    FIRST = "\x00"  # marks a text's first unit, which no space precedes
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        kept = self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.space = " " if kept else ""
+        self.lowered = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.newline = self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1:-1]
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _part(self, pre_token: str) -> list[int]:
+        ids = self.parts.get(pre_token)
+        if ids is None:
+            ids = self.parts[pre_token] = [t.id for t in self.model.tokenize(pre_token.encode().decode("latin-1").translate(_STAND_IN))]
+        return ids
+
     def _learn(self, units: list[str]) -> None:
         if len(self.known) + len(units) > self.LIMIT:
             self._reset()
-        got = [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in got], dtype=np.int64)
-        first = len(self.ids)
+        flat: list[int] = []
+        ends: list[int] = []
+        for u in units:
+            space, word = ("", u[1:]) if u[:1] == self.FIRST else (self.space, u)
+            for k, line in enumerate(word.split("\n")):
+                m = _PLAIN.fullmatch(line)
+                if m is None or not line:
+                    # Not plain throughout: the unit as a whole.
+                    del flat[ends[-1] if ends else 0 :]
+                    flat += self.tokenizer.encode(space + word, add_special_tokens=False).ids
+                    break
+                letters, signs = m.groups()
+                if self.lowered:
+                    letters = letters.lower()
+                lead = "" if k else space
+                if k:
+                    flat += self.newline
+                flat += self._part(lead + letters) + self._part(signs) if letters else self._part(lead + signs)
+            ends.append(len(flat))
+        stops = np.array(ends, dtype=np.int64)
+        begin = np.concatenate([[0], stops[:-1]]).astype(np.int64)
         self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        self.starts = np.concatenate([self.starts, first + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, *got]) if got else self.ids
+        self.starts = np.concatenate([self.starts, len(self.ids) + begin])
+        self.sizes = np.concatenate([self.sizes, stops - begin])
+        self.ids = np.concatenate([self.ids, np.array(flat, dtype=np.uint32)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -135,12 +177,12 @@ class UnitEncoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.uint32)
-            elif "  " in t:
+            elif _RUN.search(t) or self.FIRST in t:
                 out[i] = np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
             else:
                 parts = t.split(" ")
-                units.append(parts[0])
-                units.extend([" " + x for x in parts[1:]])
+                parts[0] = self.FIRST + parts[0]
+                units += parts
                 counts.append((i, len(parts)))
         if units:
             new = list(set(units).difference(self.known))
