@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, packing, pii, token_binary, toxicity
+from . import decontamination, jaccard_join, packing, pii, suffix_dedup, token_binary, toxicity
 from .common import fold, table
 
 
@@ -25,6 +25,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"), F.transform("pii", lambda s: F.round(s["score"], 6)).alias("scores"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digested(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))

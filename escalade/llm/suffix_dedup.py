@@ -140,19 +140,6 @@ def _rows(length: int):
 ROWS = "gram long, context long, key_id long, key_text long, first int, n int"
 
 
-def _cut(length: int):
-    """Bytes of the asked contexts of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t, asked in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("asked").to_pylist(), strict=True):
-                out += [(a["gram"], a["context"], a["copies"], t[a["first"] : a["first"] + a["n"] - 1 + length], a["anchor"]) for a in asked]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["gram", "context", "copies", "bytes", "anchor"])
-
-    return run
-
-
 def refined(buckets: np.ndarray, data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int, q: int = 8) -> np.ndarray:
     """Final bucket of each string of `length` bytes that starts at one of `starts` in data.
 
