@@ -68,19 +68,23 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _proposals(kind: str, text: Column) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches; nothing is split where the pattern has no match."""
+def _confirmed(kind: str, text: Column) -> Column:
+    """array<struct<start, end, value>> of a pattern's matches that pass its check; nothing is split where the pattern has no match.
+
+    One pass carries the position; only confirmed matches are appended, so a text full of failing ones stays linear.
+    """
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     pieces = F.split(text, PATTERNS[kind], -1)
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["piece"])
+        begin = acc["at"] + pair["skip"]
         end = begin + F.length(pair["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("value")))).alias("out"))
+        grown = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("value"))))
+        return F.struct(end.alias("at"), F.when(pair["valid"], grown).otherwise(acc["out"]).alias("out"))
 
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(pieces, i).alias("piece"), m.alias("m")))
+    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(F.length(p).alias("skip"), m.alias("m"), _valid(kind, m).alias("valid")))
     return F.when(F.regexp_like(text, F.lit(PATTERNS[kind])), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(empty)
 
 
@@ -92,8 +96,7 @@ def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
 
 
 def spans_of(kind: str, text: Column) -> Column:
-    confirmed = F.filter(_proposals(kind, text), lambda s: _valid(kind, s["value"]))
-    scored = F.transform(confirmed, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), _score(kind, text, s["start"], s["end"]).alias("score")))
+    scored = F.transform(_confirmed(kind, text), lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), _score(kind, text, s["start"], s["end"]).alias("score")))
     return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= LEAST)
 
 
