@@ -31,6 +31,7 @@ BATCH = 2048
 MAX_DOCS = 2400
 STRETCHES_A_DOC = 4
 EPOCHS = 5
+LEAST_STEPS = 120
 _LETTER = re.compile(r"[^\W\d_]")
 PAD = 256
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -130,7 +131,8 @@ class BiGRU:
         return loss, grads
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.02, seed: int = 3) -> list[float]:
-        """Adam over stretches x (N, T) of languages y (N); the loss of each epoch."""
+        """Adam over stretches x (N, T) of languages y (N), at least LEAST_STEPS steps; the loss of each epoch."""
+        epochs = max(epochs, -(-LEAST_STEPS // -(-len(x) // batch)))
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
