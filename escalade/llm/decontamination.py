@@ -25,7 +25,7 @@ from .common import ascii_lower, row_key, saved
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-RAREST = 3
+RAREST = 2
 SLOP = 4
 
 
@@ -39,7 +39,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where("item is not null and size(w) > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     each = items.select("item", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, F.lit(window)))).alias("terms"))
-    return each.groupBy("terms").agg(F.collect_set("item").alias("items")).select(F.sha2(F.concat_ws(" ", "terms"), 256).alias("window_id"), "terms", F.size("terms").alias("n_terms"), "items")
+    return each.groupBy("terms").agg(F.collect_set("item").alias("items")).select(F.xxhash64(F.concat_ws(" ", "terms")).alias("window_id"), "terms", F.size("terms").alias("n_terms"), "items")
 
 
 def keyed_words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -66,10 +66,19 @@ def chosen_terms(docs: DataFrame, doc_id: str, text: str, windows: DataFrame, ra
     return possible.select("window_id", F.size("c").alias("n_chosen"), F.posexplode("c").alias("rank", "c")).select("window_id", "n_chosen", "rank", F.col("c.offset").alias("offset"), F.col("c.term").alias("term"))
 
 
-def candidate_starts(chosen: DataFrame, post: DataFrame) -> DataFrame:
-    """Offset-adjusted intersection: (key_id, key_text, window_id, start) that every chosen term of the window names."""
-    shifted = post.join(chosen, "term").select("key_id", "key_text", "window_id", "n_chosen", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-    return shifted.groupBy("key_id", "key_text", "window_id", "start").agg(F.count("*").alias("n"), F.first("n_chosen").alias("n_chosen")).where("n >= n_chosen").select("key_id", "key_text", "window_id", "start")
+def candidate_starts(chosen: DataFrame, post: DataFrame, rarest: int) -> DataFrame:
+    """Offset-adjusted intersection: (key_id, key_text, window_id, start) that every chosen term of the window names.
+
+    The list of the rarest term comes first; each further term's postings are looked up only at the places left.
+    """
+    of = lambda r: chosen.where(F.col("rank") == r).select("window_id", F.col("term").alias(f"t{r}"), F.col("offset").alias(f"o{r}"))
+    left = post.join(of(0), F.col("term") == F.col("t0")).select("key_id", "key_text", "window_id", (F.col("pos") - F.col("o0")).alias("start")).where("start >= 0")
+    for r in range(1, rarest):
+        asked = left.join(of(r), "window_id", "left")
+        held = post.select("key_id", "key_text", F.col("term").alias(f"t{r}"), (F.col("pos")).alias("at"))
+        single = asked.where(F.col(f"t{r}").isNull()).select(*left.columns)
+        left = asked.where(F.col(f"t{r}").isNotNull()).withColumn("at", F.col("start") + F.col(f"o{r}")).join(held, ["key_id", "key_text", f"t{r}", "at"], "left_semi").select(*left.columns).unionByName(single)
+    return left
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
@@ -77,7 +86,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     windows = saved(benchmark_windows(benchmark, item_id, item_text, window), "windows")
     chosen = saved(chosen_terms(docs, doc_id, text, windows, rarest), "chosen")
     post = saved(postings(docs, doc_id, text, chosen.select("term").distinct()).distinct(), "postings")
-    found = candidate_starts(chosen, post).join(windows, "window_id")
+    found = candidate_starts(chosen, post, rarest).join(windows, "window_id")
     by_doc = saved(found.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("start", "n_terms", "terms", "items")).alias("cands")), "candidates")
     candidate_docs = docs.select(doc_id, text).withColumns(dict(zip(("key_id", "key_text"), row_key(doc_id, text), strict=True)))
     whole = candidate_docs.join(by_doc, ["key_id", "key_text"]).dropDuplicates(["key_id", "key_text"])
