@@ -85,25 +85,26 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     """Exact phrase matches by document: key_id, key_text, n_hit (words inside a match), items (sorted ids), hits (start, length, items)."""
     windows = saved(benchmark_windows(benchmark, item_id, item_text, window), "windows")
     chosen = saved(chosen_terms(docs, doc_id, text, windows, rarest), "chosen")
-    post = saved(postings(docs, doc_id, text, chosen.select("term").distinct()).distinct(), "postings")
+    post = saved(postings(docs, doc_id, text, saved(chosen.select("term").distinct(), "rare-terms")).distinct(), "postings")
     found = candidate_starts(chosen, post, rarest).join(windows, "window_id")
     by_doc = saved(found.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("start", "n_terms", "terms", "items")).alias("cands")), "candidates")
     candidate_docs = docs.select(doc_id, text).withColumns(dict(zip(("key_id", "key_text"), row_key(doc_id, text), strict=True)))
-    whole = candidate_docs.join(by_doc, ["key_id", "key_text"]).dropDuplicates(["key_id", "key_text"])
+    whole = candidate_docs.join(by_doc, ["key_id", "key_text"])
     whole = whole.select("key_id", "key_text", words_of(F.col(text)).alias("w"), "cands")
     hits = whole.select("key_id", "key_text", F.filter("cands", lambda c: F.slice("w", c["start"] + 1, c["n_terms"]) == c["terms"]).alias("h")).where("size(h) > 0")
     positions = F.array_distinct(F.flatten(F.transform("h", lambda c: F.sequence(c["start"], c["start"] + c["n_terms"] - 1))))
-    return hits.select(
+    found = hits.select(
         "key_id", "key_text", F.size(positions).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.col("h.items")))).alias("items"),
         F.transform("h", lambda c: F.struct(c["start"].alias("start"), c["n_terms"].alias("length"), c["items"].alias("items"))).alias("hits"),
     )
+    return found.dropDuplicates(["key_id", "key_text"])  # repeated rows have equal matches
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST, slop: int = SLOP) -> DataFrame:
     """(doc_id, item, n_windows): windows whose chosen terms all stand within slop positions of the place their rarest term gives the phrase."""
     windows = saved(benchmark_windows(benchmark, item_id, item_text, window), "windows")
     chosen = saved(chosen_terms(docs, doc_id, text, windows, rarest), "chosen")
-    post = saved(postings(docs, doc_id, text, chosen.select("term").distinct()).distinct(), "postings")
+    post = saved(postings(docs, doc_id, text, saved(chosen.select("term").distinct(), "rare-terms")).distinct(), "postings")
     at = post.join(chosen, "term").select("key_id", "window_id", "n_chosen", "rank", (F.col("pos") - F.col("offset")).alias("start"))
     lead = at.where("rank = 0").select("key_id", "window_id", "n_chosen", F.col("start").alias("lead"))
     # Places are cut into cells of slop + 1, each other term is looked up in its cell and the two beside it.
