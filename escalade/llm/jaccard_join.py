@@ -17,7 +17,9 @@ share one of these, so that no link is lost.
 Groups. Equal sets are one node (their digest). Sets under one signature: up to ALL_PAIRS of them give all pairs;
 larger groups give a star around their least member, and after the first classes are known, the pairs that lie in
 different classes of one group. So a group of near copies of any size costs rows in proportion to its size, and yet
-every pair that could join two classes is compared. All pairs are verified on the whole sets.
+every pair that could join two classes is compared. Pairs first meet as sketches, counts of a set's hashes in a number
+of cells: the cells' differences are at most the sets' difference, so pairs beyond floor((n1 + n2) / 7) go, and no
+linked pair does. What is left is verified on the whole sets.
 
 Defined results: null or wordless text has size 0 and is its own class; copies and repeated rows share a class; a
 null doc_id never becomes a class id unless all ids of the class are null; empty tables give empty results; other
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, partitions, ragged, row_key, saved, text_chunks
+from .common import components, mix64, partitions, ragged, release, row_key, saved, text_chunks
 
 SHINGLE = 5
 ALL_PAIRS = 12
@@ -107,6 +109,31 @@ def digest(s: np.ndarray) -> int:
     return int(mix64(np.array([mix64(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of the hashes by their low bits, in a power of two of cells, about one for four to eight hashes."""
+    cells = 2 ** max(4, int(len(s)).bit_length() - 3)
+    return np.minimum(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """At most the number of elements in which the sets of two sketches differ."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    n = min(len(a), len(b))
+    return int(np.abs(a.reshape(-1, n).sum(axis=0) - b.reshape(-1, n).sum(axis=0)).sum())
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = pa.array([least_difference(x, y) <= (m + n) // 7 for x, y, m, n in zip(*(b.column(c).to_pylist() for c in ("sx", "sy", "nx", "ny")), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs(a, b) whose sketches allow a link."""
+    x, y = (sketches.select(F.col("set_id").alias(k), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for k, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").mapInArrow(_near, "a long, b long")
+
+
 def first_parts(instance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n1, floor(k / 2)) of instances j."""
     k = (2 ** (instance + 1) - 1) // 3
@@ -165,7 +192,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = _as_bytes(b.column("text"))
         for i, j in text_chunks(texts):
             sets = shingle_sets(texts[i:j])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", "key_id", "key_text")), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "key_id", "key_text", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", "key_id", "key_text")), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "key_id", "key_text", "n_shingles", "set_id", "sketch"])
 
 
 def _member_blobs(buckets: int):
@@ -257,6 +284,14 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
+def whole_sets(rows: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set_id, hashes) of the sets in pairs, each made again from one of its texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    holders = known.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("key_id", "key_text")).alias("k")).join(wanted, "set_id", "left_semi").select("set_id", "k.key_id", "k.key_text")
+    texts = rows.select("key_id", "key_text", "text").join(saved(holders, "holders"), ["key_id", "key_text"])
+    return saved(texts.select("set_id", "text").mapInArrow(_whole_sets, "set_id long, hashes binary").dropDuplicates(["set_id"]), "whole-sets", codec="lz4")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of pairs(a, b), compared on the whole sets."""
     x = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
@@ -268,17 +303,18 @@ def keyed_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """jaccard_classes with the row's key (key_id, key_text) and class_id, a number of the class (null for empty sets)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
-    known = saved(rows.mapInArrow(_set_rows, "doc_id long, key_id long, key_text long, n_shingles long, set_id long"), "sets")
+    known = saved(rows.mapInArrow(_set_rows, "doc_id long, key_id long, key_text long, n_shingles long, set_id long, sketch binary"), "sets")
+    sketches = saved(known.where("set_id is not null").select("set_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set_id"]), "sketches")
+    known = known.drop("sketch")
     n = partitions(spark)
     blobs = rows.select("text").mapInArrow(_member_blobs(n), "bucket int, sig binary, local binary, ids binary, sizes binary")
     groups = saved(blobs.repartitionById(n, F.col("bucket")).mapInArrow(_group_rows, "sig long, a long, b long"), "groups")
-    pairs = saved(groups.where("sig is null").select("a", "b").distinct(), "pairs")
+    del blobs
+    release(spark)
+    pairs = saved(possible(groups.where("sig is null").select("a", "b").distinct(), sketches), "pairs")
     members = groups.where("sig is not null").select("sig", F.col("a").alias("set_id"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    holders = known.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("key_id", "key_text")).alias("k")).join(wanted, "set_id", "left_semi").select("set_id", "k.key_id", "k.key_text")
-    texts = rows.select("key_id", "key_text", "text").join(saved(holders, "holders"), ["key_id", "key_text"])
-    sets = saved(texts.select("set_id", "text").mapInArrow(_whole_sets, "set_id long, hashes binary").dropDuplicates(["set_id"]), "whole-sets", codec="lz4")
-    links = saved(verified(pairs, sets), "links")
+    links = saved(verified(pairs, whole_sets(rows, known, pairs)), "links")
+    release(spark)
     classes = components(links)
     sizes = known.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"))
     placed = members.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").join(sizes, "set_id").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
@@ -287,7 +323,8 @@ def keyed_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     open_ones = placed.join(mixed, "sig", "left_semi")
     left, right = (open_ones.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "component")]) for s in "ab")
     across = left.join(right, "sig").where("set_id_a < set_id_b and component_a <> component_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
-    later = saved(verified(across, sets), "links")
+    across = saved(possible(across, sketches), "pairs")
+    later = links.limit(0) if across.isEmpty() else saved(verified(across, whole_sets(rows, known, across)), "links")
     if not later.isEmpty():
         classes = components(links.unionByName(later))
     return _with_component(known, saved(classes, "classes"))
