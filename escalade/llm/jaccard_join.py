@@ -39,6 +39,7 @@ from .common import components, mix64, partitions, ragged, release, row_key, sav
 
 SHINGLE = 5
 ALL_PAIRS = 12
+BLOCK = 256
 SUBPARTS = 3
 SLACK = 1.2
 _RNG = np.random.default_rng(20240607)
@@ -284,6 +285,39 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
+def across_classes(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members(sig, set_id, n, component) of one group and different classes whose sizes and sketches allow a link.
+
+    Groups are dealt into blocks of about BLOCK members; a row holds two blocks of a group, and only pairs that pass leave it.
+    """
+    blocks_of = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(blocks_of, "sig").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).join(sketches, "set_id")
+    blocks = saved(dealt.groupBy("sig", "block").agg(F.collect_list(F.struct("set_id", "n", "component", "sketch")).alias("m")), "blocks")
+    x, y = (blocks.select("sig", F.col("block").alias(f"block_{k}"), F.col("m").alias(k)) for k in ("x", "y"))
+    return x.join(y, "sig").where("block_x <= block_y").select("x", "y").mapInArrow(_compare_blocks, "a long, b long").distinct()
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def folded(sketch: bytes, cells: int) -> np.ndarray:
+        return np.frombuffer(sketch, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int32)
+
+    for batch in batches:
+        for left, right in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            cells = min(len(m["sketch"]) for m in left + right)
+            ids, n, of = (np.array([m[c] for m in right], dtype=np.int64) for c in ("set_id", "n", "component"))
+            table = np.stack([folded(m["sketch"], cells) for m in right])
+            a, b = [], []
+            for m in left:
+                ok = np.flatnonzero((of != m["component"]) & (4 * np.minimum(n, m["n"]) >= 3 * np.maximum(n, m["n"])))
+                if len(ok):
+                    ok = ok[np.abs(table[ok] - folded(m["sketch"], cells)).sum(axis=1) <= (n[ok] + m["n"]) // 7]
+                    a.append(np.minimum(ids[ok], m["set_id"]))
+                    b.append(np.maximum(ids[ok], m["set_id"]))
+            if a:
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def whole_sets(rows: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     """(set_id, hashes) of the sets in pairs, each made again from one of its texts."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
@@ -320,10 +354,7 @@ def keyed_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     placed = members.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").join(sizes, "set_id").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
     placed = saved(placed, "placed")
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    open_ones = placed.join(mixed, "sig", "left_semi")
-    left, right = (open_ones.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "component")]) for s in "ab")
-    across = left.join(right, "sig").where("set_id_a < set_id_b and component_a <> component_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
-    across = saved(possible(across, sketches), "pairs")
+    across = saved(across_classes(placed.join(mixed, "sig", "left_semi"), sketches.select("set_id", "sketch")), "pairs")
     later = links.limit(0) if across.isEmpty() else saved(verified(across, whole_sets(rows, known, across)), "links")
     if not later.isEmpty():
         classes = components(links.unionByName(later))
