@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import lexicon as L
 
@@ -137,7 +138,7 @@ def sentences(stem: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(F.split(stem, r"[.!?]+"), lambda s: trim(s) != "")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _mattr(tokens: pd.Series, window: pd.Series) -> pd.Series:
     """Each token adds one to every window in which it is the first of its kind: linear in the tokens."""
     out = []
@@ -165,7 +166,7 @@ def mattr(tokens: Column, window: int = L.MATTR_WINDOW) -> Column:
     return _mattr(tokens, F.lit(window))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _compression(texts: pd.Series, level: pd.Series) -> pd.Series:
     data = [(t or "").encode() for t in texts]
     return pd.Series([len(zlib.compress(d, int(k))) / len(d) if d else float("nan") for d, k in zip(data, level, strict=True)], dtype="float64")
