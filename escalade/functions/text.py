@@ -162,7 +162,7 @@ def _mattr(tokens: pd.Series, window: pd.Series) -> pd.Series:
 
 
 def mattr(tokens: Column, window: int = L.MATTR_WINDOW) -> Column:
-    """Moving-average type-token ratio; NaN without tokens."""
+    """Moving-average type-token ratio; null without tokens."""
     return _mattr(tokens, F.lit(window))
 
 
@@ -173,7 +173,7 @@ def _compression(texts: pd.Series, level: pd.Series) -> pd.Series:
 
 
 def compression_ratio(c: Column, level: int = L.ZLIB_LEVEL) -> Column:
-    """zlib size over UTF-8 size; NaN for empty text. zlib has no built-in."""
+    """zlib size over UTF-8 size; null for empty text. zlib has no built-in."""
     return _compression(c, F.lit(level))
 
 
