@@ -15,11 +15,12 @@ shingles) also give each of their floor(size / 4) + 1 least hashes as a signatur
 share one of these, so that no link is lost.
 
 Groups. Equal sets are one node (their digest). Sets under one signature: up to ALL_PAIRS of them give all pairs;
-larger groups give a star around their least member, and after the first classes are known, the pairs that lie in
-different classes of one group. So a group of near copies of any size costs rows in proportion to its size, and yet
-every pair that could join two classes is compared. Pairs first meet as sketches, counts of a set's hashes in a number
-of cells: the cells' differences are at most the sets' difference, so pairs beyond floor((n1 + n2) / 7) go, and no
-linked pair does. What is left is verified on the whole sets.
+larger groups give a star around their least member. Once these first classes are known, members of different classes
+of one group are compared, in blocks, twice: first a forest of the pairs that may link joins most classes, then all pairs
+that still lie in different classes and may link follow. So a group of near copies of any size costs rows in proportion
+to its size, and yet every pair that could join two classes is compared. Pairs meet as sketches, the parities of the
+numbers of a set's hashes in some cells: an element more or less changes one parity, so pairs with more than
+floor((n1 + n2) / 7) differing cells go, and no linked pair does. What is left is verified on the whole sets.
 
 Defined results: null or wordless text has size 0 and is its own class; copies and repeated rows share a class; a
 null doc_id never becomes a class id unless all ids of the class are null; empty tables give empty results; other
@@ -111,16 +112,20 @@ def digest(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of the hashes by their low bits, in a power of two of cells, about one for four to eight hashes."""
-    cells = 2 ** max(4, int(len(s)).bit_length() - 3)
-    return np.minimum(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+    """Parities of the numbers of hashes with equal low bits, in a power of two of cells, two to four for each hash."""
+    cells = 2 ** max(6, int(len(s)).bit_length() + 1)
+    return np.packbits(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
+
+
+def folded(x: bytes, size: int) -> np.ndarray:
+    """The sketch of `size` bytes that has the low bits of a longer one."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def least_difference(x: bytes, y: bytes) -> int:
-    """At most the number of elements in which the sets of two sketches differ."""
-    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
-    n = min(len(a), len(b))
-    return int(np.abs(a.reshape(-1, n).sum(axis=0) - b.reshape(-1, n).sum(axis=0)).sum())
+    """At most the number of elements in which the sets of two sketches differ: an element changes one parity."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,37 +290,86 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
-def across_classes(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members(sig, set_id, n, component) of one group and different classes whose sizes and sketches allow a link.
+def mixed_blocks(placed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Blocks (sig, block, m) of about BLOCK members of those groups of placed(sig, set_id, n, component) that hold several classes."""
+    of_group = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = placed.join(of_group.where("lo < hi").select("sig", "blocks"), "sig").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).join(sketches, "set_id")
+    return dealt.groupBy("sig", "block").agg(F.collect_list(F.struct("set_id", "n", "component", "sketch")).alias("m"))
+
+
+def across_classes(placed: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of placed(sig, set_id, n, component) of one group and different classes whose sizes and sketches allow a link.
 
-    Groups are dealt into blocks of about BLOCK members; a row holds two blocks of a group, and only pairs that pass leave it.
+    A row holds two blocks of a group, and only pairs that pass leave it: all of them, or, for a forest, those that
+    join classes that the task's earlier pairs do not join.
     """
-    blocks_of = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(blocks_of, "sig").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).join(sketches, "set_id")
-    blocks = saved(dealt.groupBy("sig", "block").agg(F.collect_list(F.struct("set_id", "n", "component", "sketch")).alias("m")), "blocks")
+    blocks = saved(mixed_blocks(placed, sketches), "blocks", codec="lz4")
     x, y = (blocks.select("sig", F.col("block").alias(f"block_{k}"), F.col("m").alias(k)) for k in ("x", "y"))
-    return x.join(y, "sig").where("block_x <= block_y").select("x", "y").mapInArrow(_compare_blocks, "a long, b long").distinct()
+    return x.join(y, "sig").where("block_x <= block_y").select("x", "y").mapInArrow(_compare_blocks(forest), "a long, b long").distinct()
+
+
+def _blocks(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    at, members = column.offsets.to_numpy(), column.values
+    ids, n, of = (members.field(c).to_numpy() for c in ("set_id", "n", "component"))
+    sketches = members.field("sketch")
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield ids[i:j], n[i:j], of[i:j], sketches.slice(i, j - i).to_pylist()
+
+
+def _possible_pairs(left: tuple, right: tuple) -> np.ndarray:
+    """(i, j) of members of two blocks that lie in different classes and whose sizes and sketches allow a link."""
+    (x, nx, of_x, sx), (y, ny, of_y, sy) = left, right
+    i, j = np.nonzero((of_x[:, None] != of_y) & (4 * np.minimum(nx[:, None], ny) >= 3 * np.maximum(nx[:, None], ny)) & (x[:, None] != y))
+    if not len(i):
+        return np.zeros((0, 2), np.int64)
+    size = min(map(len, sx + sy))
+    tx, ty = (np.stack([folded(s, size) for s in t]) for t in (sx, sy))
+    step, keep = max(1, (1 << 20) // (size // 8)), []
+    for k in range(0, len(i), step):
+        a, b = i[k : k + step], j[k : k + step]
+        keep.append(np.bitwise_count(tx[a] ^ ty[b]).sum(axis=1, dtype=np.int64) <= (nx[a] + ny[b]) // 7)
+    return np.stack([i, j], axis=1)[np.concatenate(keep)]
+
+
+def _joining(of_a: np.ndarray, of_b: np.ndarray, parent: dict[int, int]) -> list[int]:
+    """Indices of pairs of classes that join what parent and the pairs before them do not; parent takes them up."""
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
+    classes, local = np.unique(np.concatenate([of_a, of_b]), return_inverse=True)
+    la, lb, left, out = local[: len(of_a)], local[len(of_a) :], np.arange(len(of_a)), []
+    while len(left):
+        roots = np.array([root(c) for c in classes.tolist()], dtype=np.int64)
+        left = left[roots[la[left]] != roots[lb[left]]]
+        for k in left[np.sort(np.unique(roots[lb[left]], return_index=True)[1])].tolist():
+            p, q = root(int(of_a[k])), root(int(of_b[k]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append(k)
+    return out
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def folded(sketch: bytes, cells: int) -> np.ndarray:
-        return np.frombuffer(sketch, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int32)
+def _compare_blocks(forest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        for batch in batches:
+            for left, right in zip(_blocks(batch.column("x")), _blocks(batch.column("y")), strict=True):
+                found = _possible_pairs(left, right)
+                i, j = found[:, 0], found[:, 1]
+                a, b = left[0][i], right[0][j]
+                if forest:
+                    order = np.lexsort((np.maximum(a, b), np.minimum(a, b)))
+                    order = order[_joining(left[2][i[order]], right[2][j[order]], parent)]
+                    a, b = a[order], b[order]
+                if len(a):
+                    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    for batch in batches:
-        for left, right in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            cells = min(len(m["sketch"]) for m in left + right)
-            ids, n, of = (np.array([m[c] for m in right], dtype=np.int64) for c in ("set_id", "n", "component"))
-            table = np.stack([folded(m["sketch"], cells) for m in right])
-            a, b = [], []
-            for m in left:
-                ok = np.flatnonzero((of != m["component"]) & (4 * np.minimum(n, m["n"]) >= 3 * np.maximum(n, m["n"])))
-                if len(ok):
-                    ok = ok[np.abs(table[ok] - folded(m["sketch"], cells)).sum(axis=1) <= (n[ok] + m["n"]) // 7]
-                    a.append(np.minimum(ids[ok], m["set_id"]))
-                    b.append(np.maximum(ids[ok], m["set_id"]))
-            if a:
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    return run
 
 
 def whole_sets(rows: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -349,16 +403,16 @@ def keyed_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     members = groups.where("sig is not null").select("sig", F.col("a").alias("set_id"))
     links = saved(verified(pairs, whole_sets(rows, known, pairs)), "links")
     release(spark)
-    classes = components(links)
-    sizes = known.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"))
-    placed = members.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").join(sizes, "set_id").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    placed = saved(placed, "placed")
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    across = saved(across_classes(placed.join(mixed, "sig", "left_semi"), sketches.select("set_id", "sketch")), "pairs")
-    later = links.limit(0) if across.isEmpty() else saved(verified(across, whole_sets(rows, known, across)), "links")
-    if not later.isEmpty():
-        classes = components(links.unionByName(later))
-    return _with_component(known, saved(classes, "classes"))
+    classes = saved(components(links), "classes")
+    sizes = sketches.select("set_id", "n")
+    for forest in (True, False):
+        placed = members.join(sizes, "set_id").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+        across = saved(across_classes(saved(placed, "placed"), sketches.select("set_id", "sketch"), forest), "pairs")
+        later = links.limit(0) if across.isEmpty() else saved(verified(across, whole_sets(rows, known, across)), "links")
+        if not later.isEmpty():
+            links = links.unionByName(later)
+            classes = saved(components(links), "classes")
+    return _with_component(known, classes)
 
 
 def _with_component(known: DataFrame, classes: DataFrame) -> DataFrame:
