@@ -410,8 +410,8 @@ def keyed_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         across = saved(across_classes(saved(placed, "placed"), sketches.select("set_id", "sketch"), forest), "pairs")
         later = links.limit(0) if across.isEmpty() else saved(verified(across, whole_sets(rows, known, across)), "links")
         if not later.isEmpty():
-            links = links.unionByName(later)
-            classes = saved(components(links), "classes")
+            # The known classes stand for the links that made them.
+            classes = saved(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later)), "classes")
     return _with_component(known, classes)
 
 

@@ -36,6 +36,25 @@ def test_jaccard(docs):
     assert rows_of(jaccard_join.jaccard_classes(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.op2(hard()))
 
 
+def test_jaccard_of_a_group_of_uneven_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(60)]
+        for at in rng.choice(60, int(rng.integers(0, 5)), replace=False):
+            words[at] = f"x{rng.integers(0, 9)}"
+        rows.append((i, " ".join(words)))
+    assert rows_of(jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id") == sorted(brute.op2(rows))
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(6)
+    for n, gone in ((3, 1), (40, 9), (300, 60), (5000, 1200)):
+        s = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        t = np.union1d(s[gone:], rng.integers(0, 2**63, 2, dtype=np.uint64))
+        assert jaccard_join.least_difference(jaccard_join.sketch(s), jaccard_join.sketch(t)) <= len(np.setxor1d(s, t))
+
+
 def test_one_of_each_class(docs):
     kept = jaccard_join.one_of_each_class(docs)
     assert kept.columns == docs.columns
