@@ -12,7 +12,8 @@ lie that it can be the anchor of.
    none of its strings occurs twice.
 2. A bucket all of whose contexts are equal is done as well: all its strings occur at each of its anchors. Such
    buckets, like those of any number of copies, are settled by counts alone.
-3. Buckets of several contexts are refined. One row per distinct context (with its count) goes to a task, whose q-gram
+3. Buckets of several contexts are refined, from one row per distinct context (with its count). Large buckets are
+   first split over the cluster by the bytes around the anchor (see repeats_of). The others go to a task each, whose q-gram
    buckets are refined by sorting positions on the pair (bucket at the position, bucket at a later offset), the
    bucket identifiers of one pass being the pointers of the next, until they tell strings of `length` bytes apart.
    A string whose final bucket holds more than one occurrence is a repeat.
@@ -26,6 +27,7 @@ empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import mix64, partitions, ragged, row_key, saved, text_chunks
 
 LENGTH = 200
+#: Parts of a bucket that are refined inside a task; larger buckets are split first.
+TASK_PARTS = 64
 _RNG = np.random.default_rng(6021)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -63,81 +67,69 @@ class Hashes:
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the least value in each window of w values, the leftmost of equals."""
+    """Position of the least value in each window of w values, all below 2^40, the leftmost of equals."""
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # The least of each block's tail and of the next block's head.
-    padded = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(h)] = h
-    blocks = padded.reshape(-1, w)
-    head = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(tail[:n], head[w - 1 : w - 1 + n])
-    # Its leftmost place: candidates are positions whose value is the least of some window that they start or end.
-    place = np.arange(len(padded), dtype=np.int64)
-    first_in_tail = _leftmost(blocks[:, ::-1], reverse=True)
-    first_in_head = _leftmost(blocks, reverse=False)
-    base = place // w * w
-    tail_at = base[:n] + first_in_tail.reshape(-1)[:n]
-    head_at = base[w - 1 : w - 1 + n] + first_in_head.reshape(-1)[w - 1 : w - 1 + n]
-    return np.where(tail[:n] == least, tail_at, head_at)
-
-
-def _leftmost(blocks: np.ndarray, reverse: bool) -> np.ndarray:
-    """Column (of the unreversed block) of the running minimum, the leftmost of equals."""
-    w = blocks.shape[1]
-    least = np.minimum.accumulate(blocks, axis=1)
-    if reverse:
-        # Running from the right, a new equal value moves the place to the left.
-        new = blocks == least
-        at = np.where(new, np.arange(w), 0)
-        return (w - 1 - np.maximum.accumulate(at, axis=1))[:, ::-1]
-    new = np.ones(blocks.shape, dtype=bool)
-    new[:, 1:] = blocks[:, 1:] < least[:, :-1]
-    return np.maximum.accumulate(np.where(new, np.arange(w), 0), axis=1)
-
-
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: place of each anchor, hash of its q-gram, and the first and last string start that it is the anchor of."""
+    out = np.empty(n, dtype=np.int64)
+    mask = np.uint64((1 << 24) - 1)
+    # Blocks of windows that fit the cache; the place inside the block breaks ties in the lower bits.
+    for at in range(0, n, 1 << 15):
+        part = h[at : min(at + (1 << 15), n) + w - 1]
+        least = (part << np.uint64(24)) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while 2 * size <= w:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < w:
+            least = np.minimum(least[: len(part) - w + 1], least[w - size :])
+        out[at : at + len(least)] = (least & mask).astype(np.int64) + at
+    return out
+
+
+def anchors(data: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of texts that stand one behind the other in data: per anchor its text, its place, hash of its q-gram, and the first and last string start that it is the anchor of; and the hashes."""
     q = length // 2
-    w = length - q + 1
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none.astype(np.uint64), none, none
-    starts = np.arange(len(data) - q + 1)
-    h = Hashes(data).of(starts, starts + q)
-    owner = window_minima(h, w)  # of the string that starts at i
-    change = np.concatenate([[True], owner[1:] != owner[:-1]])
+    hashes = Hashes(data)
+    begin = np.cumsum(lengths) - lengths
+    n = np.maximum(lengths - length + 1, 0)
+    starts = ragged(begin, n)  # of all strings inside one text
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), none, none, hashes
+    of = np.repeat(np.arange(len(lengths)), n)
+    grams = np.arange(len(data) - q + 1)
+    h = hashes.of(grams, grams + q)
+    owner = window_minima(h >> np.uint64(24), length - q + 1)[starts]
+    change = np.concatenate([[True], (owner[1:] != owner[:-1]) | (of[1:] != of[:-1])])
     first = np.flatnonzero(change)
     last = np.append(first[1:], len(owner)) - 1
-    place = owner[first]
-    return place, h[place], first, last
+    return of[first], owner[first], h[owner[first]], starts[first], starts[last], hashes
 
 
 def _rows(length: int):
-    """Per anchor: bucket (hash of its q-gram), context hash, row key, place of the context, and its strings' number."""
+    """Per anchor: bucket (hash of its q-gram), context hash, row key, place of the context, its strings' number, and where the anchor stands in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
             keys = [b.column(c).to_numpy() for c in ("key_id", "key_text")]
-            for i, j in text_chunks(texts):
-                parts = []
-                for n in range(i, j):
-                    data = np.frombuffer(texts[n], dtype=np.uint8)
-                    place, gram, first, last = anchors(data, length)
-                    if len(place):
-                        # The context and where the anchor stands in it.
-                        context = Hashes(data).of(first, last + length) ^ mix64((place - first).astype(np.uint64) + np.uint64(1))
-                        parts.append((gram.view(np.int64), context.view(np.int64), np.full(len(place), keys[0][n]), np.full(len(place), keys[1][n]), first.astype(np.int32), (last - first + 1).astype(np.int32)))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["gram", "context", "key_id", "key_text", "first", "n"])
+            for i, j in text_chunks(texts, 1_000_000):
+                lengths = np.array([len(t) for t in texts[i:j]], dtype=np.int64)
+                of, place, gram, first, last, hashes = anchors(np.frombuffer(b"".join(texts[i:j]), dtype=np.uint8), lengths, length)
+                if len(place):
+                    # The context and where the anchor stands in it.
+                    context = hashes.of(first, last + length) ^ mix64((place - first).astype(np.uint64) + np.uint64(1))
+                    begin = np.cumsum(lengths) - lengths
+                    columns = (gram.view(np.int64), context.view(np.int64), keys[0][i + of], keys[1][i + of], (first - begin[of]).astype(np.int32), (last - first + 1).astype(np.int32), (place - first).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "key_id", "key_text", "first", "n", "anchor"])
 
     return run
 
 
-ROWS = "gram long, context long, key_id long, key_text long, first int, n int"
+ROWS = "gram long, context long, key_id long, key_text long, first int, n int, anchor int"
+PARTS = "bucket long, part long, copies long, bytes binary, anchor int"
+REPEATS = "bucket long, part long, at int, n int, bits binary"
 
 
 def refined(buckets: np.ndarray, data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int, q: int = 8) -> np.ndarray:
@@ -169,8 +161,45 @@ def refined(buckets: np.ndarray, data: np.ndarray, ends: np.ndarray, starts: np.
     return np.unique(key, return_inverse=True)[1]
 
 
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+SPLIT = f"{PARTS}, at int, old_bucket long, old_part long"
+
+
+def _split(length: int, level: int):
+    """Parts of the strings whose anchor stands at like places in them, in buckets by all bytes that such strings have in common."""
+    top = length - length // 2  # the anchor's last place in a string
+    width = 1 << max(0, top.bit_length() - level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for bucket, part, copies, data, anchor in zip(*(b.column(c).to_pylist() for c in ("bucket", "part", "copies", "bytes", "anchor")), strict=True):
+                least = anchor - (len(data) - length)  # of the last string; the first one's is anchor
+                for g in range(least // width, anchor // width + 1):
+                    low, high = g * width, min((g + 1) * width - 1, top)
+                    start, stop = max(0, anchor - high), anchor - max(low, least) + length
+                    new = _hash(struct.pack("<qii", bucket, level, g), data[anchor - low : anchor - high + length])
+                    own = data[start:stop]
+                    out.append((new, _hash(struct.pack("<i", anchor - start), own), copies, own, anchor - start, start, bucket, part))
+            yield _batch(out, SPLIT)
+
+    return run
+
+
 def _refine(length: int):
-    """Per distinct context: which of its strings occur more than once (a bit for each string)."""
+    """Per part: which of its strings occur more than once (a bit for each string), if any does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, bytes, int]] = []
@@ -192,10 +221,11 @@ def _refine(length: int):
             copies = np.array([r[2] for r in rows])
             often = np.bincount(final, weights=copies[of])[final] > 1.5
             cuts = np.cumsum(n)[:-1]
-            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array([r[1] for r in rows], pa.int64()), pa.array([np.packbits(x).tobytes() for x in np.split(often, cuts)], pa.binary())], ["gram", "context", "bits"])
+            out = [(r[0], r[1], 0, len(x), np.packbits(x).tobytes()) for r, x in zip(rows, np.split(often, cuts), strict=True) if x.any()]
+            return _batch(out, REPEATS)
 
-        for b in batches:  # sorted by gram: a bucket's rows follow each other
-            for r in zip(*(b.column(c).to_pylist() for c in ("gram", "context", "copies", "bytes", "anchor")), strict=True):
+        for b in batches:  # sorted by bucket: a bucket's rows follow each other
+            for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "part", "copies", "bytes", "anchor")), strict=True):
                 if size > 2_000_000 and r[0] != rows[-1][0]:
                     yield settle()
                     rows, size = [], 0
@@ -211,71 +241,79 @@ def _strip(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, found in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("found").to_pylist(), strict=True):
+            for d, t, found in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("found").to_pylist(), strict=True):
                 t = t or b""
-                edge = np.zeros(len(t) + 1, dtype=np.int32)
-                for f in found or ():
-                    bits = np.unpackbits(np.frombuffer(f["bits"], np.uint8))[: f["n"]] if f["bits"] is not None else np.ones(f["n"], np.uint8)
-                    at = f["first"] + np.flatnonzero(bits)
-                    edge[at] += 1
-                    edge[at + length] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
-                runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((len(t), int(gone.sum()), runs, np.frombuffer(t, np.uint8)[~gone].tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                if not found:
+                    out.append((d, len(t), 0, 0, t))
+                    continue
+                at = np.sort(np.concatenate([f["first"] + (np.arange(f["n"]) if f["bits"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=f["n"]))) for f in found]))
+                gap = np.flatnonzero(np.diff(at) > length)
+                starts, stops = at[np.append(0, gap + 1)], at[np.append(gap, len(at) - 1)] + length
+                kept = b"".join(t[i:j] for i, j in zip([0, *stops.tolist()], [*starts.tolist(), len(t)], strict=True))
+                out.append((d, len(t), len(t) - len(kept), len(starts), kept))
+            yield _batch(out, KEPT)
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the asked contexts."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), pa.array([hashlib.sha256(k).hexdigest() for k in b.column("kept").to_pylist()], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        out = []
+        for t, asked in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("asked").to_pylist(), strict=True):
+            out += [(a["gram"], a["context"], a["copies"], t[a["first"] : a["first"] + a["size"]], a["anchor"]) for a in asked]
+        yield _batch(out, PARTS)
+
+
+def repeats_of(parts: DataFrame, n: int, length: int) -> DataFrame:
+    """Per part (PARTS, no two rows of one bucket and part) the strings that occur more than once in its bucket (REPEATS).
+
+    Buckets of at most TASK_PARTS parts are refined inside a task. Larger ones, of whatever size, are split over the
+    cluster: strings are told apart by where the anchor stands in them, in ever narrower ranges, and their buckets by
+    all bytes that the strings of a range have in common. Equal parts become one, with the sum of copies. Once a range
+    holds one place, all strings of a bucket are equal and one part is left: there are as many rounds at most as the
+    place has bits.
+    """
+    done: list[DataFrame] = []
+    links: list[DataFrame] = []
+    while True:
+        hot = saved(parts.groupBy("bucket").agg(F.count("*").alias("kinds")).where(F.col("kinds") > TASK_PARTS).select("bucket"), "hot-buckets")
+        some = not hot.isEmpty()
+        cool = parts.join(hot, "bucket", "left_anti") if some else parts
+        done.append(saved(cool.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(length), REPEATS), "repeats"))
+        if not some:
+            break
+        split = saved(parts.join(hot, "bucket").select("bucket", "part", "copies", "bytes", "anchor").mapInArrow(_split(length, len(done)), SPLIT), "split-parts")
+        links.append(split.select("bucket", "part", F.col("at").alias("shift"), "old_bucket", "old_part"))
+        parts = saved(split.groupBy("bucket", "part").agg(F.sum("copies").alias("copies"), F.min("bytes").alias("bytes"), F.min("anchor").alias("anchor")), "parts")
+    out = done.pop()
+    while links:
+        back = links.pop().join(out, ["bucket", "part"]).select(F.col("old_bucket").alias("bucket"), F.col("old_part").alias("part"), (F.col("shift") + F.col("at")).cast("int").alias("at"), "n", "bits")
+        out = done.pop().unionByName(back)
+    return out
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
+    each = saved(rows.mapInArrow(_rows(length), ROWS), "anchors")
+    buckets = each.groupBy("gram").agg(F.count("*").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).where("all > 1").select("gram", "mixed")
+    live = saved(each.join(buckets, "gram"), "live-anchors")
+    mixed = live.where("mixed").groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key_id", "key_text", "first", "n", "anchor")).alias("one")).select("gram", "context", "copies", "one.*")
+    asked = mixed.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("gram", "context", "copies", "first", (F.col("n") + F.lit(length - 1)).alias("size"), "anchor")).alias("asked"))
+    # Repeated rows are cut each; one is enough.
+    parts = saved(rows.join(saved(asked, "asked"), ["key_id", "key_text"]).select("text", "asked").mapInArrow(_cut, PARTS).dropDuplicates(["bucket", "part"]), "parts")
+    found = repeats_of(parts, n, length).select(F.col("bucket").alias("gram"), F.col("part").alias("context"), "at", F.col("n").alias("n_at"), "bits")
+    some = live.where("mixed").join(found, ["gram", "context"]).select("key_id", "key_text", (F.col("first") + F.col("at")).alias("first"), F.col("n_at").alias("n"), "bits")
+    whole = live.where("not mixed").select("key_id", "key_text", "first", "n", F.lit(None).cast("binary").alias("bits"))
     # The same row again is a copy: it counts, but needs its places once.
-    each = rows.mapInArrow(_rows(length), ROWS)
-    contexts = each.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key_id", "key_text", "first", "n")).alias("one"))
-    buckets = contexts.groupBy("gram").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    live = saved(contexts.join(buckets, "gram").select("gram", "context", "copies", "kinds", "one"), "live-contexts")
-    mixed = live.where("kinds > 1").select("gram", "context", "copies", "one.*")
-    asked = mixed.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("gram", "context", "copies", "first", "n")).alias("asked"))
-    return _finish(rows, each, live, asked, n, length)
-
-
-def _finish(rows: DataFrame, each: DataFrame, live: DataFrame, asked: DataFrame, n: int, length: int) -> DataFrame:
-    texts = rows.join(saved(asked, "asked"), ["key_id", "key_text"]).select("text", "asked")
-    schema = "gram long, context long, copies long, bytes binary, anchor int"
-    found = texts.mapInArrow(_cut_with_anchor(length), schema).dropDuplicates(["gram", "context"])
-    bits = saved(found.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_refine(length), "gram long, context long, bits binary"), "bits")
-    settled = live.where("kinds = 1").select("gram", "context", F.lit(None).cast("binary").alias("bits")).unionByName(bits.where(F.col("bits").isNotNull()))
-    repeats = each.join(saved(settled, "settled"), ["gram", "context"]).select("key_id", "key_text", "first", "n", "bits").distinct()
-    by_row = saved(repeats.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("first", "n", "bits")).alias("found")), "repeats")
-    return rows.join(by_row, ["key_id", "key_text"], "left").select("doc_id", "text", "found").mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def _cut_with_anchor(length: int):
-    """Bytes of the asked contexts, and where the anchor stands in them."""
-    q = length // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t, asked in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("asked").to_pylist(), strict=True):
-                data = np.frombuffer(t, dtype=np.uint8)
-                place, _, first, _ = anchors(data, length)
-                where = dict(zip(first.tolist(), place.tolist(), strict=True))
-                out += [(a["gram"], a["context"], a["copies"], t[a["first"] : a["first"] + a["n"] - 1 + length], where[a["first"]] - a["first"]) for a in asked]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["gram", "context", "copies", "bytes", "anchor"])
-
-    assert q
-    return run
+    by_row = saved(whole.unionByName(some).distinct().groupBy("key_id", "key_text").agg(F.collect_list(F.struct("first", "n", "bits")).alias("found")), "repeats-by-row")
+    return rows.join(by_row, ["key_id", "key_text"], "left").select("doc_id", "text", "found").mapInArrow(_strip(length), KEPT)
 
 
 def digested(kept: DataFrame) -> DataFrame:
-    return kept.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

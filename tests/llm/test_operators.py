@@ -85,6 +85,18 @@ def test_suffix(docs):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.op6([(d, t if d not in (7, 8) else t) for d, t in hard()]))
 
 
+def test_suffix_of_a_bucket_of_many_contexts(spark):
+    # One passage of 230 bytes in 300 documents that differ around it, in some of them shortened on either side.
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = word(230)
+    rows = [(i, word(150) + passage[rng.choice((0, 0, 20, 60)) : rng.choice((230, 230, 215, 150))] + word(150)) for i in range(300)]
+    rows += [(400, passage + passage), (401, rows[0][1]), (402, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.digested(suffix_dedup.remove_repeats(df))
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.op6(rows))
+
+
 def test_minima():
     rng = np.random.default_rng(2)
     for n, w, top in [(50, 7, 5), (7, 7, 3), (200, 13, 2), (6, 7, 9)]:
