@@ -301,7 +301,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
     each = saved(rows.mapInArrow(_rows(length), ROWS), "anchors")
-    buckets = each.groupBy("gram").agg(F.count("*").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).where("all > 1").select("gram", "mixed")
+    # Written first: a join straight on the aggregate could not be split where one bucket holds many anchors.
+    buckets = saved(each.groupBy("gram").agg(F.count("*").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).where("all > 1").select("gram", "mixed"), "buckets")
     live = saved(each.join(buckets, "gram"), "live-anchors")
     mixed = live.where("mixed").groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key_id", "key_text", "first", "n", "anchor")).alias("one")).select("gram", "context", "copies", "one.*")
     asked = mixed.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("gram", "context", "copies", "first", (F.col("n") + F.lit(length - 1)).alias("size"), "anchor")).alias("asked"))
