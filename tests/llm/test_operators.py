@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -135,6 +136,15 @@ def test_decontamination(spark, docs):
     assert decontamination.without_contaminated(docs, bench).columns == docs.columns
 
 
+def test_decontamination_sql(spark, sf):
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = db.execute(queries.oracle_sql()["op7_decontamination"]).fetchall()
+    assert rows_of(queries.op7_decontamination(spark, sf), *columns) == sorted(want)
+
+
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = brute.tokenizer("word_bpe_49k.json")
