@@ -2,9 +2,11 @@
 
 1. Every page is parsed leniently into elements. Each element subtree (tag, class and id, text with white space
    collapsed, children) gets a 64-bit hash.
-2. Spark counts the pages of each host that hold a subtree. Subtrees on at least MIN_PAGES pages and at least
-   SHARE of the host's pages are its template and are deleted. Inside an article or main element, where repeats may be
-   copies of the text itself, IN_ARTICLE_SHARE holds instead.
+2. Spark counts the pages of each host that hold a subtree; pages with the same text (by step 4, before templates are
+   known) count once, so that copies of a page do not vote its text out. Subtrees on at least MIN_PAGES pages and at
+   least SHARE of the host's pages are its template and are deleted. Inside an article or main element
+   IN_ARTICLE_SHARE holds instead. On large hosts block elements outside articles are template as well, whatever their
+   share, if pages with MANY different longest blocks hold them; near copies mostly share their longest block.
 3. Elements that are never main text go as well: menus, page headers, footers, sidebars, notices, adverts, forms,
    scripts, styles, reader comments, hidden ones; by their tag, role, class or id.
 4. What is left of the articles (else of main, else of the body) gives blocks. White space inside a block becomes one
@@ -12,7 +14,8 @@
 
 Defined results: null or empty html gives an empty text; a page whose host cannot be read takes part in no template;
 repeated rows get equal results each; empty tables give empty results; other columns are ignored. Templates of a host
-are a bounded list: subtrees on a given share of its pages are at most as many as a page's elements over that share.
+are a bounded list: subtrees on a given share of its pages are at most as many as a page's elements over that share, those
+on MANY pages as many as its elements over MANY.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from .common import saved
 MIN_PAGES = 5
 SHARE = 0.25
 IN_ARTICLE_SHARE = 0.8
+MANY = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe object svg canvas audio video dialog menu map figure-menu title".split())
@@ -151,6 +155,10 @@ def main_text(page: str, template: frozenset[int] = frozenset(), inner_template:
         for node, inside in hashed(root):
             if _signed(node.hash) in (inner_template if inside else template) and node.tag not in ("html", "body", "article", "main", "#root"):
                 node.junk = True
+    return " ".join(_page_blocks(root))
+
+
+def _page_blocks(root: Node) -> list[str]:
     for wanted in ("article", "main", "body", "#root"):
         tops = _tops(root, wanted)
         if tops:
@@ -158,7 +166,7 @@ def main_text(page: str, template: frozenset[int] = frozenset(), inner_template:
     blocks: list[str] = []
     for top in tops:
         _blocks(top, blocks)
-    return " ".join(blocks)
+    return blocks
 
 
 def _tops(root: Node, tag: str) -> list[Node]:
@@ -206,19 +214,24 @@ def host_of(url: Column) -> Column:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The subtrees of each page with hashes of its text and, for blocks outside articles, of its longest block; a row without subtree stands for the page."""
     for b in batches:
         for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            seen = {(_signed(n.hash), inside) for n, inside in hashed(parse(page or "")) if n.tag != "#root" and not n.junk}
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(seen), pa.string()), pa.array([h for h, _ in seen], pa.int64()), pa.array([i for _, i in seen], pa.bool_())], ["host", "subtree", "inside"])
+            root = parse(page or "")
+            blocks = _page_blocks(root)
+            body, lead = (_signed(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))) for t in (" ".join(blocks), max(blocks, key=len, default="")))
+            seen = {(_signed(n.hash), inside, None if inside or n.tag not in BLOCKS else lead) for n, inside in hashed(root) if n.tag != "#root" and not n.junk}
+            rows = [(None, None, None), *seen]
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(rows), pa.string()), pa.array([h for h, _, _ in rows], pa.int64()), pa.array([i for _, i, _ in rows], pa.bool_()), pa.array([body] * len(rows), pa.int64()), pa.array([x for _, _, x in rows], pa.int64())], ["host", "subtree", "inside", "body", "lead"])
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, in_article_share: float = IN_ARTICLE_SHARE) -> DataFrame:
+def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, in_article_share: float = IN_ARTICLE_SHARE, many: int = MANY) -> DataFrame:
     """(host, outer, inner): hashes of the subtrees to delete outside and inside articles."""
     own = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> ''")
-    counts = own.mapInArrow(_subtrees, "host string, subtree long, inside boolean").groupBy("host", "subtree", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = own.groupBy("host").agg(F.count("*").alias("pages"))
-    often = counts.join(totals, "host").where((F.col("n") >= min_pages) & (F.col("n") >= F.col("pages") * F.when(F.col("inside"), in_article_share).otherwise(share)))
+    found = own.mapInArrow(_subtrees, "host string, subtree long, inside boolean, body long, lead long")
+    counts = saved(found.groupBy("host", "subtree", "inside").agg(F.count_distinct("body").alias("n"), F.count_distinct("lead").alias("leads")).where((F.col("n") >= min_pages) | F.col("subtree").isNull()), "subtrees")
+    totals = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
+    often = counts.where("subtree is not null").join(totals, "host").where((F.col("n") >= F.col("pages") * F.when(F.col("inside"), in_article_share).otherwise(share)) | (F.col("leads") >= many))
     return often.groupBy("host").agg(F.collect_list(F.when(~F.col("inside"), F.col("subtree"))).alias("outer"), F.collect_list(F.when(F.col("inside"), F.col("subtree"))).alias("inner"))
 
 

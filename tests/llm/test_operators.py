@@ -246,6 +246,24 @@ def test_html(spark):
     assert got[3] == "own 3" and got[30] == "same x everywhere own 1" and got[31] == "" and got[32] == ""
 
 
+def test_html_copies_are_no_template(spark):
+    article = "<body><article><h1>Head</h1><p>all of the text</p></article><p>foot {}</p></body>"
+    plain = "<body><div><p>shared line</p></div><div><p>{}</p></div></body>"
+    rows = [(i, "http://a.org/x", article.format(i)) for i in range(6)]
+    rows += [(100 + i, "http://b.org/%d" % i, plain.format("the copied page" if i < 10 else f"own {i}")) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(6)} == {"Head all of the text"}
+    assert {got[100 + i] for i in range(10)} == {"the copied page"} and got[120] == "own 20"
+
+
+def test_html_template_of_a_large_host(spark):
+    page = lambda i: f"<body><div><p>{'rare legal line' if i < 20 else f'other {i}'}</p></div><div><p>the own long text of page {i}</p></div>{'<p>the long passage that all of the near copies have</p>' if i >= 80 else ''}</body>"
+    pages = spark.createDataFrame([(i, "http://a.org/%d" % i, page(i)) for i in range(100)], "page_id long, url string, html string")
+    outer = {h for r in html_extract.templates(pages, many=20).collect() for h in r["outer"]}
+    assert html_extract.main_text(page(3), frozenset(outer)) == "the own long text of page 3"
+    assert html_extract.main_text(page(90), frozenset(outer)).endswith("near copies have")
+
+
 def test_language(spark):
     net = language_id.BiGRU(["x", "y"], hidden=4)
     x = np.random.default_rng(0).integers(0, 257, (6, 3)).astype(np.uint16)
