@@ -203,7 +203,7 @@ def normalize_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def paraphrase_surfaces(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.table(spark, sf, "conversations").select("conv_id", "turn", F.explode(T.paraphrase_surfaces(F.substring("text", 1, 40), 3, F.concat_ws("-", "conv_id", "turn"))).alias("surface"))
+    rows = D.table(spark, sf, "conversations").select("conv_id", "turn", F.explode(T.paraphrase_surfaces(F.col("text"), 3, F.concat_ws("-", "conv_id", "turn"))).alias("surface"))
     return rows
 
 

@@ -48,6 +48,13 @@ def test_normalized_answer(spark):
     assert r["a"] and r["b"]
 
 
+def test_paraphrases_take_the_whole_text(spark, sf):
+    rows = catalog.queries()["paraphrase_surfaces"](spark, sf).collect()
+    texts = {(r["conv_id"], r["turn"]): r["text"].strip() for r in spark.read.parquet(f"{sf}/conversations.parquet").collect() if r["text"] is not None}
+    assert len(rows) >= 3 * len(texts) > 0
+    assert all(r["surface"].endswith(texts[r["conv_id"], r["turn"]]) for r in rows if r["surface"] is not None)
+
+
 def test_distribution_scores(spark):
     def scored(**p):
         m = F.create_map(*[F.lit(x) for kv in p.items() for x in kv])
