@@ -122,6 +122,15 @@ def test_versioned_table(spark, tmp_path):
     assert len(t.backups()) == 2
 
 
+def test_upsert_takes_all_keys(spark, sf):
+    want = {r["o_orderkey"]: r["o_orderstatus"] for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    new: dict = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        new[r["l_orderkey"]] = max(new.get(r["l_orderkey"], ""), r["l_linestatus"])
+    got = [tuple(r) for r in catalog.queries()["upsert"](spark, sf).collect()]
+    assert want.keys() - new.keys() and sorted(got) == sorted((want | new).items())
+
+
 def test_stream_resumes(spark, tmp_path):
     from escalade.streaming.checkpoint import probe_stream
 
