@@ -6,10 +6,10 @@ a benchmark item; an item with fewer words, but at least one, is one window.
 1. The corpus frequency of every benchmark word is counted over all documents.
 2. For each distinct window its `rarest` rarest terms are chosen. Only these terms get postings (term, document,
    position), stored for all documents.
-3. Postings are shifted by the term's offset in the window; a start that all chosen terms name is a candidate.
+3. Postings are shifted by the term's offset in the window. Starts that the rarest term names and the other chosen
+   terms confirm within `slop` positions are near places; those confirmed exactly are candidates.
 4. Candidate starts are compared with the whole window in the document's words: exact phrase matches.
-   Proximity matches are the (document, item) pairs in which the chosen terms stand within `slop` positions of
-   where the phrase has them.
+   Proximity matches are the (document, item) pairs with a near place.
 
 Defined results: null or wordless text has no words and no hits; null items count for nothing; items with equal
 windows each count; repeated rows get equal results each; empty tables give empty results or no hits; other columns
@@ -66,27 +66,43 @@ def chosen_terms(docs: DataFrame, doc_id: str, text: str, windows: DataFrame, ra
     return possible.select("window_id", F.size("c").alias("n_chosen"), F.posexplode("c").alias("rank", "c")).select("window_id", "n_chosen", "rank", F.col("c.offset").alias("offset"), F.col("c.term").alias("term"))
 
 
-def candidate_starts(chosen: DataFrame, post: DataFrame, rarest: int) -> DataFrame:
-    """Offset-adjusted intersection: (key_id, key_text, window_id, start) that every chosen term of the window names.
+def near_starts(chosen: DataFrame, post: DataFrame, rarest: int, slop: int) -> DataFrame:
+    """(key_id, key_text, window_id, start, exact): starts by the rarest term with every other chosen term within slop positions of its place; exact: all at their place, once a start.
 
-    The list of the rarest term comes first; each further term's postings are looked up only at the places left.
+    The list of the rarest term comes first; each further term's postings are looked up only at the places left, in
+    cells of positions that are as wide as the places around one may lie.
     """
     of = lambda r: chosen.where(F.col("rank") == r).select("window_id", F.col("term").alias(f"t{r}"), F.col("offset").alias(f"o{r}"))
-    left = post.join(of(0), F.col("term") == F.col("t0")).select("key_id", "key_text", "window_id", (F.col("pos") - F.col("o0")).alias("start")).where("start >= 0")
+    cell = lambda at: F.floor(at / (2 * slop + 1))
+    left = post.join(of(0), F.col("term") == F.col("t0")).select("key_id", "key_text", "window_id", (F.col("pos") - F.col("o0")).alias("start")).withColumn("exact", F.col("start") >= 0)
     for r in range(1, rarest):
         asked = left.join(of(r), "window_id", "left")
-        held = post.select("key_id", "key_text", F.col("term").alias(f"t{r}"), (F.col("pos")).alias("at"))
+        held = post.select("key_id", "key_text", F.col("term").alias(f"t{r}"), F.col("pos").alias("at"), cell(F.col("pos")).alias("cell"))
         single = asked.where(F.col(f"t{r}").isNull()).select(*left.columns)
-        left = asked.where(F.col(f"t{r}").isNotNull()).withColumn("at", F.col("start") + F.col(f"o{r}")).join(held, ["key_id", "key_text", f"t{r}", "at"], "left_semi").select(*left.columns).unionByName(single)
+        place = F.col("start") + F.col(f"o{r}")
+        places = asked.where(F.col(f"t{r}").isNotNull()).withColumn("place", place).withColumn("cell", F.explode(F.array_distinct(F.array(cell(place - slop), cell(place + slop)))))
+        met = places.join(held, ["key_id", "key_text", f"t{r}", "cell"]).where(F.abs(F.col("at") - F.col("place")) <= slop)
+        left = met.withColumn("exact", F.col("exact") & (F.col("at") == F.col("place"))).select(*left.columns).unionByName(single)
     return left
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """Exact phrase matches by document: key_id, key_text, n_hit (words inside a match), items (sorted ids), hits (start, length, items)."""
+def window_places(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, rarest: int, slop: int) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's windows and their near places in docs."""
     windows = saved(benchmark_windows(benchmark, item_id, item_text, window), "windows")
     chosen = saved(chosen_terms(docs, doc_id, text, windows, rarest), "chosen")
     post = saved(postings(docs, doc_id, text, saved(chosen.select("term").distinct(), "rare-terms")).distinct(), "postings")
-    found = candidate_starts(chosen, post, rarest).join(windows, "window_id")
+    return windows, near_starts(chosen, post, rarest, slop)
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
+    """Exact phrase matches by document: key_id, key_text, n_hit (words inside a match), items (sorted ids), hits (start, length, items)."""
+    windows, places = window_places(docs, benchmark, doc_id, text, item_id, item_text, window, rarest, 0)
+    return phrases_at(docs, windows, places, doc_id, text)
+
+
+def phrases_at(docs: DataFrame, windows: DataFrame, places: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The phrase matches among the exact places."""
+    found = places.where("exact").join(windows, "window_id")
     by_doc = saved(found.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("start", "n_terms", "terms", "items")).alias("cands")), "candidates")
     candidate_docs = docs.select(doc_id, text).withColumns(dict(zip(("key_id", "key_text"), row_key(doc_id, text), strict=True)))
     whole = candidate_docs.join(by_doc, ["key_id", "key_text"])
@@ -101,28 +117,23 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST, slop: int = SLOP) -> DataFrame:
-    """(doc_id, item, n_windows): windows whose chosen terms all stand within slop positions of the place their rarest term gives the phrase."""
-    windows = saved(benchmark_windows(benchmark, item_id, item_text, window), "windows")
-    chosen = saved(chosen_terms(docs, doc_id, text, windows, rarest), "chosen")
-    post = saved(postings(docs, doc_id, text, saved(chosen.select("term").distinct(), "rare-terms")).distinct(), "postings")
-    at = post.join(chosen, "term").select("key_id", "window_id", "n_chosen", "rank", (F.col("pos") - F.col("offset")).alias("start"))
-    lead = at.where("rank = 0").select("key_id", "window_id", "n_chosen", F.col("start").alias("lead"))
-    # Places are cut into cells of slop + 1, each other term is looked up in its cell and the two beside it.
-    cell = F.floor((F.col("start") + 64 * (slop + 1)) / (slop + 1))
-    rest = at.where("rank > 0").select("key_id", "window_id", "rank", "start", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    lead = lead.withColumn("cell", F.floor((F.col("lead") + 64 * (slop + 1)) / (slop + 1)))
-    near = lead.join(rest, ["key_id", "window_id", "cell"], "left").where(F.col("rank").isNull() | (F.abs(F.col("start") - F.col("lead")) <= slop))
-    full = near.groupBy("key_id", "window_id", "lead").agg(F.countDistinct("rank").alias("n"), F.first("n_chosen").alias("n_chosen")).where("n + 1 >= n_chosen")
-    return full.join(windows.select("window_id", F.explode("items").alias("item")), "window_id").groupBy(F.col("key_id").alias(doc_id), "item").agg(F.countDistinct("window_id").alias("n_windows"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """All rows of docs with n_words, n_hit, items (sorted ids as strings) and contaminated beside their own columns."""
-    matches = saved(phrase_matches(docs, benchmark, doc_id, text, item_id, item_text, window, rarest), "matches")
+    """(doc_id, key_text, item, n_windows): windows whose chosen terms all stand within slop positions of the place their rarest term gives the phrase, by id and hash of the text."""
+    windows, places = window_places(docs, benchmark, doc_id, text, item_id, item_text, window, rarest, slop)
+    each = places.join(windows.select("window_id", F.explode("items").alias("item")), "window_id").groupBy("key_id", "key_text", "item").agg(F.countDistinct("window_id").alias("n_windows"))
+    return each.select(F.when(F.col("key_id") != -(2**63), F.col("key_id")).alias(doc_id), "key_text", "item", "n_windows")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST, slop: int = SLOP) -> DataFrame:
+    """All rows of docs with n_words, n_hit, items (sorted ids as strings), contaminated and near_items (items with a proximity match, sorted) beside their own columns."""
+    windows, places = window_places(docs, benchmark, doc_id, text, item_id, item_text, window, rarest, slop)
+    places = saved(places, "places")
+    phrases = phrases_at(docs, windows, places, doc_id, text).select("key_id", "key_text", "n_hit", "items")
+    near = places.select("key_id", "key_text", "window_id").distinct().join(windows.select("window_id", F.explode("items").alias("item")), "window_id").groupBy("key_id", "key_text").agg(F.array_sort(F.collect_set("item")).alias("near"))
+    matches = saved(near.join(phrases, ["key_id", "key_text"], "left"), "matches")  # a phrase match is a proximity match
     own = docs.select(*docs.columns, *[c.alias(f"__{n}") for n, c in zip(("key_id", "key_text"), row_key(doc_id, text), strict=True)])
-    found = matches.select(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"), F.col("n_hit").alias("__n_hit"), F.col("items").alias("__items"))
+    found = matches.select(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"), F.col("n_hit").alias("__n_hit"), F.col("items").alias("__items"), F.col("near").alias("__near"))
     joined = own.withColumn("__n_words", F.size(words_of(F.col(text))).cast("long")).join(found, ["__key_id", "__key_text"], "left")
-    return joined.select(*docs.columns, F.col("__n_words").alias("n_words"), F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"), (F.coalesce("__n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return joined.select(*docs.columns, F.col("__n_words").alias("n_words"), F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"), (F.coalesce("__n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("__near", F.array().cast("array<string>")).alias("near_items"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST) -> DataFrame:

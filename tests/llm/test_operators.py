@@ -136,6 +136,19 @@ def test_decontamination(spark, docs):
     assert decontamination.without_contaminated(docs, bench).columns == docs.columns
 
 
+def test_proximity(spark):
+    words = [f"q{i}" for i in range(10)]
+    phrase, moved = " ".join(words), " ".join([*words[:5], "x", "y", *words[5:]])
+    far = " ".join([*words[:1], *["z"] * 9, *words[1:]])
+    rows = [(1, phrase), (2, moved), (2, "other"), (None, moved), (3, far), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, phrase)], "item_id long, text string")
+    got = {(r["doc_id"], r["text"]): (r["n_hit"], r["near_items"]) for r in decontamination.decontaminate(docs, bench, rarest=10).collect()}
+    assert got == {(1, phrase): (10, ["7"]), (2, moved): (0, ["7"]), (2, "other"): (0, []), (None, moved): (0, ["7"]), (3, far): (0, []), (4, None): (0, [])}
+    near = decontamination.proximity_matches(docs, bench).collect()
+    assert {r["doc_id"] for r in near} >= {1, 2, None} and len({(r["doc_id"], r["key_text"]) for r in near}) == len(near)
+
+
 def test_decontamination_sql(spark, sf):
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     db = duckdb.connect()
