@@ -19,6 +19,7 @@ an empty table makes no shard; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -34,15 +35,14 @@ MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 20
 MIN_COUNT = 24
 ROUND_PAIRS = 256
-ROUNDS = 8
 
 
-def re_pair(ids: np.ndarray, first: int, end_id: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, round_pairs: int = ROUND_PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rules[i] is the pair behind nonterminal first + i; end_id is never part of a pair."""
+def re_pair(ids: np.ndarray, first: int, end_id: int, rounds: int | None = None, min_count: int = MIN_COUNT, round_pairs: int = ROUND_PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rules[i] is the pair behind nonterminal first + i; end_id is never part of a pair. No number of rounds: until no pair is frequent enough."""
     seq = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         pairs = (seq[:-1] << 32) | seq[1:]

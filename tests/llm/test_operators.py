@@ -248,6 +248,14 @@ PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body
 <article><header><h1>Head&amp;line</h1></header><p>One <b>bold</b>er &nbsp; text<br>line<p>Two<aside>side</aside><form><input>f</form><ul><li>a<li>b</ul><div id="comments"><p>nice</p></div></article><footer>f</footer></body></html>"""
 
 
+def test_re_pair_goes_on_until_no_pair_is_frequent():
+    passage = np.random.default_rng(0).integers(0, 5000, 4000)
+    ids = [np.append(np.tile(passage, 2), 9999) for _ in range(20)]
+    shard = token_binary.Shard(token_binary.write_shard(list(range(20)), ids, 9999))
+    assert len(shard.symbols) <= 3 * 20 and len(shard.rules) > 2048
+    assert all((shard.ids(i) == ids[i]).all() for i in (0, 19))
+
+
 def test_html(spark):
     assert html_extract.main_text(PAGE) == "Head&line One bolder text line Two a b"
     assert html_extract.main_text("<p>a<div>b</span>c</p>") == "a bc" and html_extract.main_text("") == "" and html_extract.main_text("x &lt; y") == "x < y"
