@@ -196,6 +196,14 @@ def complexity_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(X.composed(X.zscored(flat, X.zstats(flat.join(fit, "doc_id", "left_semi")), "doc_id"), "doc_id"))
 
 
+@query
+def complexity_compressed(spark: SparkSession, sf: str) -> DataFrame:
+    """complexity_scores with the compression term; rows only, zlib has no SQL here."""
+    flat = X.flattened(_phi(spark, sf, compression=True), "doc_id", {"structural": X.STRUCTURAL, "linguistic_cues": X.LINGUISTIC})
+    fit = D.corpus(spark, sf).where("role = 'fit'").select("doc_id")
+    return rounded(X.composed(X.zscored(flat, X.zstats(flat.join(fit, "doc_id", "left_semi")), "doc_id"), "doc_id"))
+
+
 @query
 def normalize_answer(spark: SparkSession, sf: str) -> DataFrame:
     return D.table(spark, sf, "conversations").select("conv_id", "turn", T.normalized_answer(F.col("text")).alias("answer"))

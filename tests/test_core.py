@@ -131,6 +131,23 @@ def test_upsert_takes_all_keys(spark, sf):
     assert want.keys() - new.keys() and sorted(got) == sorted((want | new).items())
 
 
+def test_complexity_has_the_compression_term(spark, sf):
+    import zlib
+
+    from escalade.functions import lexicon as L
+
+    texts = {r["doc_id"]: r["prompt"] or "" for r in catalog.Q.D.corpus(spark, sf).collect()}
+    ratio = {d: len(zlib.compress(t.encode(), L.ZLIB_LEVEL)) / len(t.encode()) for d, t in texts.items() if t}
+    fit = [x for d, x in ratio.items() if d % 10 < 5]
+    mean = sum(fit) / len(fit)
+    std = math.sqrt(sum((x - mean) ** 2 for x in fit) / len(fit))
+    before, got = ({r["doc_id"]: r for r in catalog.queries()[n](spark, sf).collect()} for n in ("complexity_scores", "complexity_compressed"))
+    assert got.keys() == texts.keys()
+    for d, r in got.items():
+        z = (ratio[d] - mean) / std if d in ratio else 0.0
+        assert abs(r["C_density"] - (before[d]["C_density"] - z)) < 3e-6 and abs(r["C_query"] - (before[d]["C_query"] - z / 4)) < 3e-6
+
+
 def test_stream_resumes(spark, tmp_path):
     from escalade.streaming.checkpoint import probe_stream
 
