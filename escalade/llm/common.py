@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import itertools
 import re
 import tempfile
 import uuid
@@ -10,6 +10,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a temporary one where none is set (local tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir. Where it is unset, a temporary one, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
         base = f"file://{tempfile.mkdtemp(prefix='escalade-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -34,18 +38,56 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str, codec: str) -> DataFrame:
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files of a table go as soon as it is written
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer referenced now rather than at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    return _written(df, fresh_path(df.sparkSession, name), codec)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of one computation in the shared folder. drop() deletes those that nothing will read again; leaving the scope deletes the rest."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths.values():
+            delete(self.spark, path)
+        self.paths = {}
+
+    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths[id(df)] = path
+        out = _written(df, path, codec)
+        self.paths[id(out)] = self.paths.pop(id(df))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete(self.spark, self.paths.pop(id(t)))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -107,109 +149,147 @@ def text_chunks(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[in
 #: The printable stand-ins that byte-level vocabularies use for bytes, by their rule.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _STAND_IN = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
-#: A unit of one run of plain letters and one of plain punctuation: two pre-tokens under both vocabularies.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!#$%&()*+,\-./:;<=>?@\[\]^_`{|}~]*)")
+#: Plain letters, and plain punctuation: a unit of a run of each is two pre-tokens under both vocabularies.
+_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
-_RUN = re.compile(r" \s|\s ")
+_LARGE = {x: pa.scalar(x, pa.large_string()) for x in ("", " ")}
 
 
 class UnitEncoder:
-    """A tokenizers file with a bounded cache by space-separated unit.
+    """A tokenizers file with a bounded cache by unit; ids are those of the library's encode(text, add_special_tokens=False).
 
-    Both pre-tokenizers in use never join characters across a single space that starts a unit, so the ids of
-    a text are those of its units in order. A unit of plain letters and plain punctuation goes to the library's model
-    as its two pre-tokens, any other one through the whole library. So do texts with a space beside other white space.
+    Units are what single spaces and single line ends separate. Both pre-tokenizers in use never join characters across
+    a single space that starts a unit, nor across a line end between two characters that are no white space, so the
+    ids of a text are those of its units in order. A unit of plain letters and plain punctuation goes to the library's
+    model as its two pre-tokens, any other one through the whole library. So do texts with white space beside white
+    space and texts that may hold the string of a special token.
     """
 
-    LIMIT = 600_000
-    FIRST = "\x00"  # marks a text's first unit, which no space precedes
+    LIMIT = 1_200_000
+    FIRST = "\x00"  # marks the first unit of a line, which no space precedes
+    LINE = "\n"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        kept = self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
+        #: Texts with one of these go through the whole library: the first characters of the special tokens.
+        self.apart = {self.FIRST, *(t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values())}
+        kept = self._whole(" a") != self._whole("a")
         self.space = " " if kept else ""
-        self.lowered = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
-        self.newline = self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1:-1]
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
+        self.lowered = self._whole("A") == self._whole("a")
+        self.line = self._whole("a\nb")[1:-1]
+        self.signs: dict[str, list[int]] = {"": []}
+        self.known = pa.array([], pa.large_string())
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _part(self, pre_token: str) -> list[int]:
-        ids = self.parts.get(pre_token)
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _parts(self, pre_tokens: list[str]) -> list[list[int]]:
+        """Ids of pre-tokens without line ends."""
+        shown = "\n".join(pre_tokens).encode().decode("latin-1").translate(_STAND_IN).split(chr(_STAND_IN[10])) if pre_tokens else []
+        return [[t.id for t in tokens] for tokens in map(self.model.tokenize, shown)]
+
+    def _sign(self, pre_token: str) -> list[int]:
+        ids = self.signs.get(pre_token)
         if ids is None:
-            ids = self.parts[pre_token] = [t.id for t in self.model.tokenize(pre_token.encode().decode("latin-1").translate(_STAND_IN))]
+            if len(self.signs) > 20_000:
+                self.signs = {"": []}
+            ids = self.signs[pre_token] = self._parts([pre_token])[0]
         return ids
 
-    def _learn(self, units: list[str]) -> None:
-        if len(self.known) + len(units) > self.LIMIT:
-            self._reset()
-        flat: list[int] = []
-        ends: list[int] = []
-        for u in units:
-            space, word = ("", u[1:]) if u[:1] == self.FIRST else (self.space, u)
-            for k, line in enumerate(word.split("\n")):
-                m = _PLAIN.fullmatch(line)
-                if m is None or not line:
-                    # Not plain throughout: the unit as a whole.
-                    del flat[ends[-1] if ends else 0 :]
-                    flat += self.tokenizer.encode(space + word, add_special_tokens=False).ids
-                    break
-                letters, signs = m.groups()
-                if self.lowered:
-                    letters = letters.lower()
-                lead = "" if k else space
-                if k:
-                    flat += self.newline
-                flat += self._part(lead + letters) + self._part(signs) if letters else self._part(lead + signs)
-            ends.append(len(flat))
-        stops = np.array(ends, dtype=np.int64)
-        begin = np.concatenate([[0], stops[:-1]]).astype(np.int64)
-        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + begin])
-        self.sizes = np.concatenate([self.sizes, stops - begin])
-        self.ids = np.concatenate([self.ids, np.array(flat, dtype=np.uint32)])
+    def _other(self, unit: str) -> list[int] | None:
+        """Ids of a unit without letters or with other characters; None if its text has white space beside white space there."""
+        if unit == self.LINE:
+            return self.line
+        space, word = ("", unit[1:]) if unit[:1] == self.FIRST else (self.space, unit)
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        return self._whole(space + word) if word.strip(_SIGNS) else self._sign(space + word)
+
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """Where units stand in the cache. A full one keeps the units that are needed now and drops the others."""
+        found = pc.index_in(units, value_set=self.known)
+        unknown = found.is_null().to_numpy(zero_copy_only=False)
+        new = units.filter(pa.array(unknown))
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(self.known) + len(new) > self.LIMIT:
+            kept = at[~unknown]
+            starts, self.sizes = self.starts[kept], self.sizes[kept]
+            room = np.maximum(self.sizes, 0)
+            self.known, self.ids, self.starts = self.known.take(pa.array(kept)), self.ids[ragged(starts, room)], np.cumsum(room) - room
+            at[~unknown] = np.arange(len(kept))
+        at[unknown] = len(self.known) + np.arange(len(new))
+        if len(new):
+            self._learn(new)
+        return at
+
+    def _learn(self, new: pa.Array) -> None:
+        first = pc.starts_with(new, self.FIRST)
+        words = pc.if_else(first, pc.utf8_slice_codeunits(new, 1), new)
+        letters = pc.utf8_rtrim(words, _SIGNS)
+        plain = pc.match_substring_regex(letters, _LETTERS).to_numpy(zero_copy_only=False)
+        spaced = pc.binary_join_element_wise(pc.if_else(first, _LARGE[""], _LARGE[self.space]), pc.utf8_lower(letters) if self.lowered else letters, _LARGE[""]).filter(pa.array(plain)).dictionary_encode()
+        at = np.flatnonzero(plain)
+        n_signs = pc.subtract(pc.utf8_length(words), pc.utf8_length(letters)).to_numpy()
+        signed = np.flatnonzero(plain & (n_signs > 0))
+        tails = [u[-n:] for u, n in zip(new.take(pa.array(signed)).to_pylist(), n_signs[signed].tolist(), strict=True)]
+        kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+        others = [self._other(u) for u in new.filter(pa.array(~plain)).to_pylist()]
+        heads = self._parts(spaced.dictionary.to_pylist())
+        pool = [*heads, *map(self._sign, kinds), *(o or [] for o in others)]
+        pool_size = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool))
+        flat = np.fromiter(itertools.chain.from_iterable(pool), dtype=np.uint32, count=int(pool_size.sum()))
+        # Two rows of the pool for each unit: the head and the signs, or the unit as a whole and nothing.
+        rows = np.full((len(new), 2), len(pool), dtype=np.int64)
+        rows[at, 0] = spaced.indices.to_numpy()
+        rows[signed, 1] = len(heads) + np.fromiter(map(kinds.__getitem__, tails), dtype=np.int64, count=len(tails))
+        rows[~plain, 0] = len(heads) + len(kinds) + np.arange(len(others))
+        pool_size = np.append(pool_size, 0)
+        pool_start = np.cumsum(pool_size) - pool_size
+        sizes = pool_size[rows].sum(axis=1)
+        self.ids, before = np.concatenate([self.ids, flat[ragged(pool_start[rows].reshape(-1), pool_size[rows].reshape(-1))]]), len(self.ids)
+        self.starts = np.concatenate([self.starts, before + np.cumsum(sizes) - sizes])
+        sizes[np.flatnonzero(~plain)[np.fromiter((o is None for o in others), dtype=bool, count=len(others))]] = -1
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.known = pa.concat_arrays([self.known, new])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        units: list[str] = []
-        counts: list[tuple[int, int]] = []
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = np.zeros(0, np.uint32)
-            elif _RUN.search(t) or self.FIRST in t:
-                out[i] = np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
-            else:
-                parts = t.split(" ")
-                parts[0] = self.FIRST + parts[0]
-                units += parts
-                counts.append((i, len(parts)))
-        if units:
-            new = list(set(units).difference(self.known))
-            if new:
-                before = len(self.known)
-                self._learn(new)
-                if len(self.known) < before + len(new):  # the cache was emptied
-                    self._learn(list(set(units).difference(self.known)))
-            at = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
-            sizes = self.sizes[at]
-            flat = self.ids[ragged(self.starts[at], sizes)]
-            ends = np.cumsum(sizes)
-            done = 0
-            last = 0
-            for i, n in counts:
-                done += n
-                end = int(ends[done - 1])
-                out[i] = flat[last:end]
-                last = end
-        return out  # type: ignore[return-value]
+        flat, counts = self.encode_flat(texts)
+        return np.split(flat, np.cumsum(counts)[:-1]) if texts else []
+
+    def encode_flat(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other and each text's number of ids; end_id, if given, ends each text."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        apart = np.fromiter((any(x in t for x in self.apart) for t in texts), dtype=bool, count=len(texts))
+        cut = pc.split_pattern(pa.array([self.FIRST + t.replace("\n", " \n \x00") if t and not a else self.LINE for t, a in zip(texts, apart.tolist(), strict=True)], pa.large_string()), " ")
+        offsets = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        units = coded.dictionary
+        at = self._places(units)[coded.indices.to_numpy()]
+        sizes = self.sizes[at]
+        empty = np.fromiter((not t for t in texts), dtype=bool, count=len(texts))
+        sizes[offsets[:-1][empty | apart]] = 0  # stand-ins
+        apart |= np.minimum.reduceat(sizes, offsets[:-1]) < 0
+        if apart.any():
+            sizes[np.repeat(apart, np.diff(offsets))] = 0
+        counts = np.add.reduceat(sizes, offsets[:-1])
+        flat = self.ids[ragged(self.starts[at], sizes)]
+        if apart.any():
+            own = np.split(flat, np.cumsum(counts)[:-1])
+            for i in np.flatnonzero(apart).tolist():
+                own[i] = np.array(self._whole(texts[i]), dtype=np.uint32)
+                counts[i] = len(own[i])
+            flat = np.concatenate(own)
+        if end_id is not None:
+            flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
+            counts = counts + 1
+        return flat, counts
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -222,26 +302,71 @@ def encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Smallest node reachable from each node of edges(a, b): columns node, component (nodes without edges are absent).
+class Forest:
+    """Least node of each class of nodes joined so far, by union with path halving."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the pair joins two classes."""
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
+FOREST_ROWS = 1_000_000
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v) as pairs (node, least node of its class in this task), anew after each FOREST_ROWS rows."""
+    forest = Forest()
+
+    def settled() -> pa.RecordBatch:
+        nodes = list(forest.parent)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.root(x) for x in nodes], pa.int64())], ["u", "v"])
+
+    for b in batches:
+        if len(forest.parent) > FOREST_ROWS:
+            yield settled()
+            forest = Forest()
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            forest.join(u, v)
+    yield settled()
+
+
+def components(edges: DataFrame, name: str = "components", scratch: Scratch | None = None) -> DataFrame:
+    """Smallest node reachable from each node of edges(a, b): columns node, component (nodes without edges and smallest ones are absent).
 
-    Alternating large-star and small-star steps over distributed tables; each round is written to the shared
-    folder. A node's neighbours meet only in aggregates (min) and in joins that Spark can split, never in one list.
+    Each round first shrinks the pairs of every task to a forest, then links each node u to the least node p(u) beside
+    it, links u's other smaller neighbours to p(u), and skips p(u) for p(p(u)). It ends when nothing changes: then every
+    node has its root alone. Minima are summed up before they are shuffled; a node has at most one larger row a task in
+    the first join; a root's many nodes meet in no aggregate, only in a join that Spark can split, both sides of which
+    are written tables. All rounds are tables in the shared folder, deleted when the next one is written; the last one goes with `scratch`,
+    if one is given.
     """
-    e = saved(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
-    while True:
-        # Large star: a node's larger neighbours are linked to the least node around it.
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: a node and its smaller neighbours are linked to the least of them.
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
-        e = saved(small.where("u <> v"), name)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+    keep = scratch.save if scratch else saved
+    with Scratch(edges.sparkSession) as own:
+        e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        held: list[DataFrame] = []
+        while True:
+            pairs = own.save(e.mapInArrow(_forests, "u long, v long"), name)
+            least = own.save(pairs.groupBy("u").agg(F.min("v").alias("p")), name)
+            extra = pairs.join(least, "u").where("v <> p").select(F.greatest("v", "p").alias("u"), F.least("v", "p").alias("v"), F.lit(True).alias("changed"))
+            jump = least.join(least.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left").select("u", F.coalesce("pp", "p").alias("v"), F.col("pp").isNotNull().alias("changed"))
+            step = jump.unionByName(extra)
+            after = own.save(step, name)
+            own.drop(pairs, least, *held)
+            held = [after]
+            if after.where("changed").isEmpty():
+                return keep(after.select(F.col("u").alias("node"), F.col("v").alias("component")), name)
+            e = after.select("u", "v")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import crc32_of, encoder, partitions, saved, text_chunks
 
 CAPACITY = 2048
+TEXT_BYTES = 8_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,12 +38,17 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
         enc = encoder(tokenizer)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for i, j in text_chunks(texts):
-                rows = []
-                for d, ids in zip(b.column("doc_id").slice(i, j - i).to_pylist(), enc.encode(texts[i:j]), strict=True):
-                    whole = np.append(ids, np.uint32(end_id))
-                    rows += [(d, k, at, min(capacity, len(whole) - at), crc32_of(whole[at : at + capacity])) for k, at in enumerate(range(0, len(whole), capacity))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids = b.column("doc_id")
+            for i, j in text_chunks(texts, TEXT_BYTES):
+                flat, counts = enc.encode_flat(texts[i:j], end_id)
+                n = -(-counts // capacity)
+                of = np.repeat(np.arange(j - i), n)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(counts[of] - start, capacity)
+                begin = (np.cumsum(counts) - counts)[of] + start
+                crcs = [crc32_of(flat[x:y]) for x, y in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 

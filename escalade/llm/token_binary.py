@@ -1,9 +1,10 @@
 """Token ids in binary shards under a Re-Pair grammar.
 
-Documents in ascending id order are cut into shards of about SHARD_TOKENS ids. In each shard frequent pairs of
-neighbouring symbols are replaced by nonterminals, round after round, until no pair is frequent enough. A round
-takes the most frequent pairs together; where matches overlap, every other one from the left is replaced. Pairs never
-cross a document's end.
+Documents in ascending id order (of one id: by the hash of their text, then by the text) are cut into shards of about
+SHARD_TOKENS ids. In each shard frequent pairs of neighbouring symbols are replaced by nonterminals, round after round,
+until no pair is seen MIN_COUNT times. A round takes together the most frequent pairs: those seen at least a
+ROUND_SHARE as often as the first one, and the ROUND_PAIRS first ones in any case; where matches overlap, every other
+one from the left is replaced. Pairs never cross a document's end.
 
 Shard format (little-endian): magic `RPG1`, then unsigned 32-bit: documents, rules, symbols, first nonterminal, bytes a
 symbol; then per document: id (int64), id-is-null (uint8), number of ids (uint32), number of symbols (uint32); per
@@ -19,7 +20,6 @@ an empty table makes no shard; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import struct
 from collections.abc import Iterator
 
@@ -34,37 +34,49 @@ from .common import crc32_of, encoder, partitions, ragged, saved, text_chunks
 MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 20
 MIN_COUNT = 24
-ROUND_PAIRS = 256
+ROUND_PAIRS = 512
+ROUND_SHARE = 0.1
+CELLS = 1 << 20
+TEXT_BYTES = 8_000_000
 
 
-def re_pair(ids: np.ndarray, first: int, end_id: int, rounds: int | None = None, min_count: int = MIN_COUNT, round_pairs: int = ROUND_PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rules[i] is the pair behind nonterminal first + i; end_id is never part of a pair. No number of rounds: until no pair is frequent enough."""
+def _cells(pairs: np.ndarray) -> np.ndarray:
+    """A cell number below CELLS of each pair."""
+    return ((pairs * -7046029254386353131) >> 44) & (CELLS - 1)
+
+
+def re_pair(ids: np.ndarray, first: int, end_id: int, min_count: int = MIN_COUNT, round_pairs: int = ROUND_PAIRS, round_share: float = ROUND_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rules[i] is the pair behind nonterminal first + i; end_id is never part of a pair. Afterwards no pair is seen min_count times."""
     seq = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in itertools.count() if rounds is None else range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         pairs = (seq[:-1] << 32) | seq[1:]
-        free = (seq[:-1] != end_id) & (seq[1:] != end_id)
-        ordered = np.sort(pairs[free])
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        cell = _cells(pairs)
+        stop = seq == end_id
+        cell[stop[:-1] | stop[1:]] = CELLS
+        load = np.bincount(cell, minlength=CELLS + 1)
+        load[CELLS] = 0
+        # Only pairs in cells of min_count pairs can be frequent; they alone are sorted.
+        at = np.flatnonzero(load[cell] >= min_count)
+        ordered = np.sort(pairs[at])
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else at
         counts = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
             break
-        often = often[np.argsort(-counts[often], kind="stable")][:round_pairs]
+        often = often[np.argsort(-counts[often], kind="stable")]
+        often = often[: max(round_pairs, int((counts[often] >= round_share * counts[often[0]]).sum()))]
         chosen = np.sort(ordered[edge[often]])
-        # Most positions are ruled out by one look at a small table.
-        spread = lambda p: ((p * -7046029254386353131) >> 46) & 0x3FFFF
-        maybe = np.zeros(1 << 18, dtype=bool)
-        maybe[spread(chosen)] = True
-        at = np.flatnonzero(maybe[spread(pairs)] & free)
-        which = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-        real = chosen[which] == pairs[at]
-        at, which = at[real], which[real]
+        # One pair a cell; another one of the same cell waits for the next round.
+        slot = np.full(CELLS + 1, -1, dtype=np.int32)
+        slot[_cells(chosen)] = np.arange(len(chosen))
+        chosen = chosen[np.sort(slot[_cells(chosen)][np.unique(_cells(chosen), return_index=True)[1]])]
+        slot[_cells(chosen)] = np.arange(len(chosen))
+        which = slot[cell]
+        at = np.flatnonzero(which >= 0)
+        at = at[chosen[which[at]] == pairs[at]]
+        which = which[at]
         start = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         keep = run % 2 == 0
@@ -178,11 +190,12 @@ def shards_of(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_i
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             keys = b.column("doc_id").to_pylist()
-            for i, j in text_chunks(texts):
-                for d, x in zip(keys[i:j], enc.encode(texts[i:j]), strict=True):
-                    ids.append(np.append(x, np.uint32(end_id)))
+            for i, j in text_chunks(texts, TEXT_BYTES):
+                flat, counts = enc.encode_flat(texts[i:j], end_id)
+                for d, x in zip(keys[i:j], np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+                    ids.append(x)
                     owners.append(d)
-                    size += len(x) + 1
+                    size += len(x)
                     if size >= shard_tokens:
                         yield flush()
                         ids, owners, size, ordinal = [], [], 0, ordinal + 1
@@ -190,7 +203,9 @@ def shards_of(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_i
             yield flush()
 
     n = partitions(docs.sparkSession)
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # Rows that are equal in id and text are dealt at random: any order among them is the same.
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key_text"), F.rand(1).alias("salt"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "key_text", "salt").sortWithinPartitions("doc_id", "key_text", "text").select("doc_id", "text")
     return ordered.mapInArrow(run, "part int, ordinal int, n_docs long, n_tokens long, shard binary")
 
 
