@@ -5,21 +5,33 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles (words:
 with nothing. Two documents link when 100 * |intersection| >= 75 * |union|.
 
 Signatures. Sizes fall into bands [2^j, 2^(j+1)); instance j compares sets of band j with each other and with those
-sets of band j+1 that are small enough to link with one of band j. Linked sets of instance j differ in at most
-k = floor(M / 3) elements, M = 2^(j+1) - 1. Shingles are hashed into n1 first-level parts of n2 = 3 second-level
-parts each. At most floor(k / 2) first-level parts of a linked pair hold two or more differences; in every other
-part two of the three second-level parts are equal, so that one of the three subsets of two parts gives both sets
-the same signature. Empty signatures are left out: a set with more than floor(k / 2) first-level parts in which no
-subset is empty shares a non-empty one with every partner. Sets for which this does not hold (mostly those of a few
-shingles) also give each of their floor(size / 4) + 1 least hashes as a signature of the instance; two linked sets
-share one of these, so that no link is lost.
-
-Groups. Equal sets are one node (their digest). Sets under one signature: up to ALL_PAIRS of them give all pairs;
-larger groups give a star around their least member. Once these first classes are known, members of different classes
-of one group are compared, in blocks, twice: first a forest of the pairs that may link joins most classes, then all pairs
-that still lie in different classes and may link follow. So a group of near copies of any size costs rows in proportion
-to its size, and yet every pair that could join two classes is compared. Pairs meet as sketches, the parities of the
-numbers of a set's hashes in some cells: an element more or less changes one parity, so pairs with more than
+sets of band j+1 that are small enough to link with one of band j. Linked sets of sizes m and n differ in at most
+(m + n) / 7 elements, those of instance j in at most k = floor(M / 3), M = 2^(j+1) - 1. Shingles are hashed into n1
+first-level parts of n2 = 3 second-level parts each, n1 somewhat over k / 2. Each of the three subsets of two
+second-level parts of a part is a signature of the set, if it is not empty.
+
+What a set shares with a partner. A first-level part in which a set fills two or three second-level parts gives it a
+signature in common with the partner unless two of the differences lie there; one in which it fills one, unless one
+difference lies there. So differ in at most `most` elements, and the set shares at least its `spare` with every partner:
+the number of such parts less those that `most` differences can spoil. `most` follows from the set's own size. Sets
+of no spare (small ones) also give each of their floor(size / 4) + 1 least hashes as a signature of the instance;
+two linked sets without spare share one of these, so that no link is lost.
+
+Holders. Equal sets are one node (their digest); one of their texts, whichever partial aggregates meet first, is signed
+and compared for all, so that copies cost no signatures.
+
+Groups. Sets under one signature: up to ALL_PAIRS of them give all pairs; larger groups give a star around their least
+member, and their members are noted. Buckets of signatures are read in pieces of MOST_SIGNATURES; what a bucket needs
+between pieces is one member for each signature.
+
+Few notes are needed. A set with fewer notes than spare meets each partner in a small group too, and its notes go.
+Common passages, which make large groups, thus weigh only with sets that mostly consist of them.
+
+Once the first classes are known, members of different classes of the groups that are left are compared, in blocks,
+twice: first a forest of the pairs that may link joins most classes, then all pairs that still lie in different
+classes and may link follow. Groups of the same members count once. So a group of near copies of any size costs rows in
+proportion to its size, and yet every pair that could join two classes is compared. Pairs meet as sketches, the parities
+of the numbers of a set's hashes in some cells: an element more or less changes one parity, so pairs with more than
 floor((n1 + n2) / 7) differing cells go, and no linked pair does. What is left is verified on the whole sets.
 
 Defined results: null or wordless text has size 0 and is its own class; copies and repeated rows share a class; a
@@ -36,13 +48,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, partitions, ragged, release, row_key, saved, text_chunks
+from .common import Forest, Scratch, components, mix64, partitions, ragged, row_key, saved, text_chunks
 
 SHINGLE = 5
 ALL_PAIRS = 12
 BLOCK = 256
 SUBPARTS = 3
 SLACK = 1.2
+CHUNK_BYTES = 500_000
+#: Shingles a bucket is planned for, and signatures that a task holds at a time.
+BUCKET_SHINGLES = 1 << 19
+MOST_SIGNATURES = 1 << 21
+#: Set ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _MUL = _RNG.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
@@ -149,6 +167,11 @@ def first_parts(instance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of its set) of all sets; empty sets have none."""
+    return signed(sets)[:2]
+
+
+def signed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, index of its set) of all sets, and each set's spare: at least so many signatures of parts it shares with any partner."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     own = np.flatnonzero(sizes > 0)
     band = np.floor(np.log2(np.maximum(sizes, 1) + 0.5)).astype(np.int64)
@@ -156,8 +179,8 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lower = own[(-(-3 * sizes[own] // 4) < 2 ** band[own]) & (band[own] > 0)]
     who, inst = np.concatenate([own, lower]), np.concatenate([band[own], band[lower] - 1])
     if not len(who):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    n1, half = first_parts(inst)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(sets), np.int64)
+    n1, _ = first_parts(inst)
     base = np.concatenate([[0], np.cumsum(n1)])
     sums = np.zeros((int(base[-1]), SUBPARTS), dtype=np.uint64)
     filled = np.zeros((int(base[-1]), SUBPARTS), dtype=bool)
@@ -173,8 +196,14 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     row_entry = np.repeat(np.arange(len(who)), n1)
     row_part = np.arange(int(base[-1])) - base[:-1][row_entry]
     n_filled = filled.sum(axis=1)
-    solid = np.bincount(row_entry, weights=n_filled >= 2, minlength=len(who))
-    risky = solid <= half
+    single, solid = (np.bincount(row_entry, weights=w, minlength=len(who)).astype(np.int64) for w in (n_filled == 1, n_filled >= 2))
+    # Partners in the own instance have up to 4/3 of the size, those in the lower one are of the lower band.
+    size = sizes[who]
+    most = (size + np.where(inst == band[who], 4 * size // 3, 2 ** (inst + 1) - 1)) // 7
+    left = single + solid - np.where(most > single, single + (most - single) // 2, most)
+    risky = left <= 0
+    spare = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(spare, who, left)
     total = sums.sum(axis=1, dtype=np.uint64)
     out, ids = [], []
     for drop in range(SUBPARTS):
@@ -186,7 +215,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     least = sizes[who[risky]] // 4 + 1
     out.append(mix64(flat[ragged(offsets[who[risky]], least)] * np.uint64(5) + mix64(np.repeat(inst[risky], least).astype(np.uint64) + np.uint64(999_999_937))))
     ids.append(np.repeat(who[risky], least))
-    return np.concatenate(out), np.concatenate(ids)
+    return np.concatenate(out), np.concatenate(ids), spare
 
 
 def _as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -196,85 +225,125 @@ def _as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = _as_bytes(b.column("text"))
-        for i, j in text_chunks(texts):
+        for i, j in text_chunks(texts, CHUNK_BYTES):
             sets = shingle_sets(texts[i:j])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", "key_id", "key_text")), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "key_id", "key_text", "n_shingles", "set_id", "sketch"])
+            own = [b.column(c).slice(i, j - i) for c in ("doc_id", "key_id", "key_text", "text")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "key_id", "key_text", "text", "n_shingles", "set_id", "sketch"])
+
+
+BLOBS = "bucket long, sig binary, counts binary, ids binary, sizes binary, spare binary"
 
 
 def _member_blobs(buckets: int):
-    """Signatures of a chunk of texts, one blob for each bucket: packed signatures, index of the set, and the sets' ids and sizes."""
+    """Signatures of a chunk of sets, one row for each bucket: low halves of the signatures, and for each set their number, its id, size and spare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = _as_bytes(b.column("text"))
-            for i, j in text_chunks(texts):
-                by_id = {digest(s): s for s in shingle_sets(texts[i:j]) if len(s)}
-                ids, sets = np.fromiter(by_id, dtype=np.int64, count=len(by_id)), list(by_id.values())
-                sig, who = signatures(sets)
-                bucket = (sig % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                sig, who, bucket = sig[order], who[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                sizes = np.array([len(s) for s in sets], dtype="<u4")
+            texts, all_ids = _as_bytes(b.column("text")), b.column("set_id").to_numpy()
+            for i, j in text_chunks(texts, CHUNK_BYTES):
+                sets, ids = shingle_sets(texts[i:j]), all_ids[i:j]
+                sig, who, spare = signed(sets)
+                bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                place = bucket * len(sets) + who
+                order = np.argsort(place, kind="stable")
+                low, place = (sig[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), place[order]
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+                counts = np.diff(np.append(first, len(place))).astype("<u4")
+                bucket, who = place[first] // len(sets), place[first] % len(sets)
+                columns = (counts, ids[who].astype("<i8"), np.array([len(s) for s in sets], "<u4")[who], np.clip(spare, -(2**30), 2**30).astype("<i4")[who])
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
                 rows = []
-                for k in range(buckets):
-                    lo, hi = cuts[k], cuts[k + 1]
-                    if hi > lo:
-                        there, local = np.unique(who[lo:hi], return_inverse=True)
-                        rows.append((k, sig[lo:hi].tobytes(), local.astype("<u2" if len(there) < 65536 else "<u4").tobytes(), ids[there].tobytes(), sizes[there].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "sig", "local", "ids", "sizes"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("sig", "local", "ids", "sizes"))]))
+                for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+                    end = int(first[y]) if y < len(first) else len(low)
+                    rows.append((int(bucket[x]), low[first[x] : end].tobytes(), *(c[x:y].tobytes() for c in columns)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], ["bucket", "sig", "counts", "ids", "sizes", "spare"])
 
     return run
 
 
 def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig null, a, b): pairs to verify; rows (sig, a, b null): members of groups beyond ALL_PAIRS. One bucket's blobs come to one task."""
-    parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    """Rows (sig null, a, b): pairs to verify; rows (sig, a, b): member a of a large group and its spare. The rows of a bucket follow each other in one task."""
+    bucket, held, size = -1, [], 0
+    met = (np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64))
     for batch in batches:
         for row in batch.to_pylist():
-            ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], "<u4")
-            local = np.frombuffer(row["local"], "<u2" if len(ids) < 65536 else "<u4").astype(np.int64)
-            parts.setdefault(row["bucket"], []).append((np.frombuffer(row["sig"], np.uint64), ids[local], sizes[local]))
-    for blobs in parts.values():
-        sig, ids, sizes = (np.concatenate(x) for x in zip(*blobs, strict=True))
-        order = np.argsort(sig, kind="stable")
-        sorted_sig = sig[order]
+            if row["bucket"] != bucket:
+                if held:
+                    yield from _pairs_and_notes(bucket, held, met, False)[0]
+                bucket, held, size = row["bucket"], [], 0
+                met = tuple(x[:0] for x in met)
+            elif size > MOST_SIGNATURES:
+                rows, met = _pairs_and_notes(bucket, held, met, True)
+                yield from rows
+                held, size = [], 0
+            held.append(row)
+            size += len(row["sig"]) // 4
+    if held:
+        yield from _pairs_and_notes(bucket, held, met, False)[0]
+
+
+def _pairs_and_notes(bucket: int, held: list[dict], met: tuple[np.ndarray, ...], more: bool) -> tuple[list[pa.RecordBatch], tuple[np.ndarray, ...]]:
+    """Rows of one piece of a bucket, and signature, first member and its spare of all that the bucket has shown so far (if more follows)."""
+    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in held])
+    sig = np.concatenate([np.frombuffer(r["sig"], "<u4") for r in held])
+    ids, sizes, spare = (np.repeat(np.concatenate([np.frombuffer(r[c], kind) for r in held]).astype(np.int64), counts) for c, kind in (("ids", "<i8"), ("sizes", "<u4"), ("spare", "<i4")))
+    several = more or len(met[0]) > 0
+    order = np.argsort(sig, kind="stable")
+    if not several:
+        # Most signatures stand alone.
+        same = sig[order[1:]] == sig[order[:-1]]
         shared = np.zeros(len(sig), dtype=bool)
-        same = sorted_sig[1:] == sorted_sig[:-1]
         shared[1:] |= same
         shared[:-1] |= same
         order = order[shared]
-        sig, ids, sizes = sig[order], ids[order], sizes[order].astype(np.int64)
-        order = np.lexsort((ids, sig))
-        sig, ids, sizes = sig[order], ids[order], sizes[order]
-        first = np.ones(len(sig), dtype=bool)
-        first[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-        sig, ids, sizes = sig[first], ids[first], sizes[first]
-        head = np.ones(len(sig), dtype=bool)
-        head[1:] = sig[1:] != sig[:-1]
-        starts = np.flatnonzero(head)
-        counts = np.diff(np.append(starts, len(sig)))
-        pos = np.arange(len(sig)) - np.repeat(starts, counts)
-        count = np.repeat(counts, counts)
-        a, b = [], []
-        for step in range(1, ALL_PAIRS):  # element with the one `step` after it
-            at = np.flatnonzero((count <= ALL_PAIRS) & (pos + step < count))
-            at = at[4 * np.minimum(sizes[at], sizes[at + step]) >= 3 * np.maximum(sizes[at], sizes[at + step])]
-            a.append(ids[at])
-            b.append(ids[at + step])
-        large = np.flatnonzero((count > ALL_PAIRS) & (pos > 0))
-        a.append(ids[large - pos[large]])
-        b.append(ids[large])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if sum(map(len, a)) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["sig", "a", "b"])
-        many = count > ALL_PAIRS
-        yield pa.RecordBatch.from_arrays([pa.array(sig[many].view(np.int64)), pa.array(ids[many]), pa.nulls(int(many.sum()), pa.int64())], ["sig", "a", "b"])
+    sig, ids, sizes, spare = sig[order], ids[order], sizes[order], spare[order]
+    order = np.lexsort((ids, sig))
+    sig, ids, sizes, spare = sig[order], ids[order], sizes[order], spare[order]
+    once = np.ones(len(sig), dtype=bool)
+    once[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+    sig, ids, sizes, spare = sig[once], ids[once], sizes[once], spare[once]
+    head = np.ones(len(sig), dtype=bool)
+    head[1:] = sig[1:] != sig[:-1]
+    starts = np.flatnonzero(head)
+    counts = np.diff(np.append(starts, len(sig)))
+    pos = np.arange(len(sig)) - np.repeat(starts, counts)
+    count = np.repeat(counts, counts)
+    a, b = [], []
+    for step in range(1, ALL_PAIRS):  # a member with the one `step` after it
+        at = np.flatnonzero((count <= ALL_PAIRS) & (pos + step < count))
+        at = at[4 * np.minimum(sizes[at], sizes[at + step]) >= 3 * np.maximum(sizes[at], sizes[at + step])]
+        a.append(ids[at])
+        b.append(ids[at + step])
+    large = np.flatnonzero((count > ALL_PAIRS) & (pos > 0))
+    a.append(ids[large - pos[large]])
+    b.append(ids[large])
+    noted = count > (1 if several else ALL_PAIRS)
+    notes = [(sig[noted], ids[noted], spare[noted])]
+    if len(met[0]):
+        place = np.minimum(np.searchsorted(met[0], sig), len(met[0]) - 1)
+        again = np.flatnonzero(met[0][place] == sig)
+        a.append(met[1][place[again]])
+        b.append(ids[again])
+        notes += [(sig[again], ids[again], spare[again]), (sig[again], met[1][place[again]], met[2][place[again]])]
+    if more:
+        fresh = starts if not len(met[0]) else starts[met[0][np.minimum(np.searchsorted(met[0], sig[starts]), len(met[0]) - 1)] != sig[starts]]
+        met = tuple(np.concatenate([x, y[fresh]]) for x, y in zip(met, (sig, ids, spare), strict=True))
+        order = np.argsort(met[0], kind="stable")
+        met = tuple(x[order] for x in met)
+    pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1)
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+    note_sig, note_id, note_spare = (np.concatenate(x) for x in zip(*notes, strict=True))
+    wide = (np.int64(bucket) << 32) | note_sig.astype(np.int64)
+    return [
+        pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["sig", "a", "b"]),
+        pa.RecordBatch.from_arrays([pa.array(wide), pa.array(note_id), pa.array(note_spare)], ["sig", "a", "b"]),
+    ], met
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = _as_bytes(b.column("text"))
-        for i, j in text_chunks(texts):
+        for i, j in text_chunks(texts, CHUNK_BYTES):
             yield pa.RecordBatch.from_arrays([b.column("set_id").slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(texts[i:j])], pa.binary())], ["set_id", "hashes"])
 
 
@@ -291,19 +360,19 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mixed_blocks(placed: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Blocks (sig, block, m) of about BLOCK members of those groups of placed(sig, set_id, n, component) that hold several classes."""
-    of_group = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = placed.join(of_group.where("lo < hi").select("sig", "blocks"), "sig").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).join(sketches, "set_id")
+    """Blocks (sig, block, m) of about BLOCK members of those groups of placed(sig, set_id, n, component) that hold several classes; of groups with the same members one."""
+    of_group = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.hash("set_id")).alias("y"))
+    once = of_group.where("lo < hi").groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    dealt = placed.join(once, "sig").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).join(sketches, "set_id")
     return dealt.groupBy("sig", "block").agg(F.collect_list(F.struct("set_id", "n", "component", "sketch")).alias("m"))
 
 
-def across_classes(placed: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of placed(sig, set_id, n, component) of one group and different classes whose sizes and sketches allow a link.
+def across_classes(blocks: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of members of one group's blocks that lie in different classes and whose sizes and sketches allow a link.
 
     A row holds two blocks of a group, and only pairs that pass leave it: all of them, or, for a forest, those that
     join classes that the task's earlier pairs do not join.
     """
-    blocks = saved(mixed_blocks(placed, sketches), "blocks", codec="lz4")
     x, y = (blocks.select("sig", F.col("block").alias(f"block_{k}"), F.col("m").alias(k)) for k in ("x", "y"))
     return x.join(y, "sig").where("block_x <= block_y").select("x", "y").mapInArrow(_compare_blocks(forest), "a long, b long").distinct()
 
@@ -331,31 +400,20 @@ def _possible_pairs(left: tuple, right: tuple) -> np.ndarray:
     return np.stack([i, j], axis=1)[np.concatenate(keep)]
 
 
-def _joining(of_a: np.ndarray, of_b: np.ndarray, parent: dict[int, int]) -> list[int]:
-    """Indices of pairs of classes that join what parent and the pairs before them do not; parent takes them up."""
-
-    def root(c: int) -> int:
-        while (up := parent.get(c, c)) != c:
-            parent[c] = parent.get(up, up)
-            c = up
-        return c
-
+def _joining(of_a: np.ndarray, of_b: np.ndarray, forest: Forest) -> list[int]:
+    """Indices of pairs of classes that join what the forest and the pairs before them do not; the forest takes them up."""
     classes, local = np.unique(np.concatenate([of_a, of_b]), return_inverse=True)
     la, lb, left, out = local[: len(of_a)], local[len(of_a) :], np.arange(len(of_a)), []
     while len(left):
-        roots = np.array([root(c) for c in classes.tolist()], dtype=np.int64)
+        roots = np.array([forest.root(c) for c in classes.tolist()], dtype=np.int64)
         left = left[roots[la[left]] != roots[lb[left]]]
-        for k in left[np.sort(np.unique(roots[lb[left]], return_index=True)[1])].tolist():
-            p, q = root(int(of_a[k])), root(int(of_b[k]))
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append(k)
+        out += [k for k in left[np.sort(np.unique(roots[lb[left]], return_index=True)[1])].tolist() if forest.join(int(of_a[k]), int(of_b[k]))]
     return out
 
 
 def _compare_blocks(forest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+        joined = Forest()
         for batch in batches:
             for left, right in zip(_blocks(batch.column("x")), _blocks(batch.column("y")), strict=True):
                 found = _possible_pairs(left, right)
@@ -363,7 +421,7 @@ def _compare_blocks(forest: bool):
                 a, b = left[0][i], right[0][j]
                 if forest:
                     order = np.lexsort((np.maximum(a, b), np.minimum(a, b)))
-                    order = order[_joining(left[2][i[order]], right[2][j[order]], parent)]
+                    order = order[_joining(left[2][i[order]], right[2][j[order]], joined)]
                     a, b = a[order], b[order]
                 if len(a):
                     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -372,12 +430,11 @@ def _compare_blocks(forest: bool):
     return run
 
 
-def whole_sets(rows: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(set_id, hashes) of the sets in pairs, each made again from one of its texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    holders = known.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("key_id", "key_text")).alias("k")).join(wanted, "set_id", "left_semi").select("set_id", "k.key_id", "k.key_text")
-    texts = rows.select("key_id", "key_text", "text").join(saved(holders, "holders"), ["key_id", "key_text"])
-    return saved(texts.select("set_id", "text").mapInArrow(_whole_sets, "set_id long, hashes binary").dropDuplicates(["set_id"]), "whole-sets", codec="lz4")
+def whole_sets(holders: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(set_id, hashes) of the sets in pairs, each made again from its holder's text."""
+    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return scratch.save(holders.select("set_id", "text").join(few, "set_id", "left_semi").mapInArrow(_whole_sets, "set_id long, hashes binary"), "whole-sets", codec="lz4")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -390,36 +447,53 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def keyed_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """jaccard_classes with the row's key (key_id, key_text) and class_id, a number of the class (null for empty sets)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
-    known = saved(rows.mapInArrow(_set_rows, "doc_id long, key_id long, key_text long, n_shingles long, set_id long, sketch binary"), "sets")
-    sketches = saved(known.where("set_id is not null").select("set_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set_id"]), "sketches")
-    known = known.drop("sketch")
-    n = partitions(spark)
-    blobs = rows.select("text").mapInArrow(_member_blobs(n), "bucket int, sig binary, local binary, ids binary, sizes binary")
-    groups = saved(blobs.repartitionById(n, F.col("bucket")).mapInArrow(_group_rows, "sig long, a long, b long"), "groups")
-    del blobs
-    release(spark)
-    pairs = saved(possible(groups.where("sig is null").select("a", "b").distinct(), sketches), "pairs")
-    members = groups.where("sig is not null").select("sig", F.col("a").alias("set_id"))
-    links = saved(verified(pairs, whole_sets(rows, known, pairs)), "links")
-    release(spark)
-    classes = saved(components(links), "classes")
-    sizes = sketches.select("set_id", "n")
+    with Scratch(spark) as scratch:
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *row_key(doc_id, text), F.col(text).alias("text"))
+        known = scratch.save(rows.mapInArrow(_set_rows, "doc_id long, key_id long, key_text long, text string, n_shingles long, set_id long, sketch binary"), "sets")
+        holders = scratch.save(known.where("set_id is not null").select("set_id", F.col("n_shingles").alias("n"), "sketch", "text").dropDuplicates(["set_id"]), "holders")
+        return saved(_with_component(known.drop("text", "sketch"), _classes(holders, scratch), scratch), "keyed-classes")
+
+
+def _linked(pairs: DataFrame, holders: DataFrame, scratch: Scratch) -> DataFrame:
+    sets = whole_sets(holders, pairs, scratch)
+    links = scratch.save(verified(pairs, sets), "links")
+    scratch.drop(sets)
+    return links
+
+
+def _classes(holders: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the linked sets of holders(set_id, n, sketch, text)."""
+    n = partitions(holders.sparkSession)
+    sketches = holders.select("set_id", "n", "sketch")
+    total = holders.agg(F.sum("n")).first()[0] or 0
+    blobs = holders.select("set_id", "text").mapInArrow(_member_blobs(n * (1 + total // (n * BUCKET_SHINGLES))), BLOBS)
+    groups = scratch.save(blobs.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket").mapInArrow(_group_rows, "sig long, a long, b long"), "groups")
+    pairs = scratch.save(possible(groups.where("sig is null").select("a", "b").distinct(), sketches), "pairs")
+    classes = components(_linked(pairs, holders, scratch), scratch=scratch)
+    noted = groups.where("sig is not null").select("sig", F.col("a").alias("set_id"), F.col("b").alias("spare"))
+    needed = noted.groupBy("set_id").agg(F.count("*").alias("notes"), F.min("spare").alias("spare")).where("notes >= spare").select("set_id")
+    members = scratch.save(noted.join(scratch.save(needed, "needed"), "set_id", "left_semi").select("sig", "set_id").distinct().join(sketches.select("set_id", "n"), "set_id"), "members")
+    scratch.drop(groups)
     for forest in (True, False):
-        placed = members.join(sizes, "set_id").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-        across = saved(across_classes(saved(placed, "placed"), sketches.select("set_id", "sketch"), forest), "pairs")
-        later = links.limit(0) if across.isEmpty() else saved(verified(across, whole_sets(rows, known, across)), "links")
-        if not later.isEmpty():
+        placed = scratch.save(members.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "placed")
+        blocks = scratch.save(mixed_blocks(placed, sketches.select("set_id", "sketch")), "blocks", codec="lz4")
+        scratch.drop(placed)
+        if blocks.isEmpty():
+            break
+        across = scratch.save(across_classes(blocks, forest), "pairs")
+        scratch.drop(blocks)
+        if not across.isEmpty():
             # The known classes stand for the links that made them.
-            classes = saved(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later)), "classes")
-    return _with_component(known, classes)
+            classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_linked(across, holders, scratch)), scratch=scratch)
+    return classes
 
 
-def _with_component(known: DataFrame, classes: DataFrame) -> DataFrame:
+def _with_component(known: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     least = known.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    of_set = least.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    ids = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = saved(of_set.join(ids, "component").select("set_id", "component_id", "component"), "class-of-set")
+    of_set = scratch.save(least.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "class-of-set")
+    # Written first: a join straight on the aggregate could not be split where one class holds many sets.
+    ids = scratch.save(of_set.groupBy("component").agg(F.min("least").alias("component_id")), "class-ids")
+    by_set = of_set.join(ids, "component").select("set_id", "component_id", "component")
     return known.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "key_id", "key_text", F.col("component").alias("class_id"))
 
 
@@ -430,7 +504,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with the least id of their class, one row a class; rows without words all stay. A null id stays only where the class has no other."""
-    known = saved(keyed_classes(docs, doc_id, text), "keyed-classes")
+    known = keyed_classes(docs, doc_id, text)
     best = known.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "key_id", "key_text")).alias("k")).select("k.key_id", "k.key_text")
     kept = saved(best.unionByName(known.where("class_id is null").select("key_id", "key_text").distinct()).select(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text")), "kept")
     key_id, key_text = row_key(doc_id, text)
