@@ -1,109 +1,125 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Fitting. A bounded sample of labelled rows outside the held-out fold (at most `max_examples`, half of them for each
-label, in the order of a hash of the id) gives the vocabulary: words and word beginnings of 4 to 6 letters whose
-presence differs between the labels (chi-squared of at least `min_chi2`, at most `max_features`), with inverse
-document frequencies. The examples' unit vectors are stored as postings in blocks of 64 examples with each block's
-largest weight.
+Fitting. The examples are a bounded sample of labelled rows outside the held-out fold (at most `max_examples`, half of
+them for each label, in the order of a hash of the id). All their words are terms. A word's weight in a text is
+(1 + log count) * idf * relevance: idf over the examples, relevance the root of the word's chi-squared between the
+labels (at least LEAST_RELEVANCE), the usual term weighting of TF-IDF for classes. Texts are unit vectors of these
+weights over all terms.
 
-Search. A block's bound is the sum over the query's terms of query weight times block maximum. Blocks are scored in
-descending order of bound until the bound of the next one is under the k-th best cosine, so the neighbours are
-exact; ties go to the lower example number.
+Index. Examples are put in order by their heaviest term, so that like ones share a block of BLOCK examples, and stored as
+postings by block and term, with each term's largest weight in each block.
+
+Search. A block's bound is the sum over the text's terms of its weight times the block's maximum. Blocks are scored in
+descending order of bound, a few at a time, until the bound of the next one is under the k-th best cosine, so the
+neighbours are exact; ties go to the lower example number.
 
 Scores. Neighbours vote with their squared cosine and a weight that undoes the sample's balance; a logistic curve
-fitted on leave-one-out votes of the sample turns the vote into a probability. Texts without any term of the
-vocabulary, empty and null ones among them, get the rate of toxic examples among the examples without a term.
+fitted on leave-one-out votes of the sample turns the vote into a probability. Texts that share no word with any example,
+empty and null ones among them, have no neighbours and get the rate of label 1.
 
-Defined results: null text scores as empty; null labels teach nothing; without examples, or with one label only, the score
-is the rate of label 1 (0 without examples); repeated rows get equal scores; empty tables give empty results;
-other columns are passed through untouched.
+Defined results: null text scores as empty; null labels teach nothing; of several texts under one id the least one is
+the example; without examples, or with one label only, the score is the rate of label 1 (0 without examples); repeated
+rows get equal results; empty tables give empty results; other columns are passed through, one that has the name of
+`out` is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, ragged
 
 MAX_EXAMPLES = 4000
-MAX_FEATURES = 600
-MIN_CHI2 = 20.0
 NEIGHBOURS = 15
-BLOCK = 64
-PREFIXES = (4, 5, 6)
+BLOCK = 128
+LEAST_RELEVANCE = 0.01
+FIRST_BLOCKS = 2
 _WORD = re.compile(r"[^\W\d_]+")
-RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())])))])
-
-
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
+RESULT = "struct<score: double, evidence: array<struct<example: bigint, cosine: double, label: int>>>"
 
 
-def all_terms(text: str) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(_WORD.findall(text.lower())).items():
-        for t in terms_of(w):
-            out[t] += n
-    return out
+def words_of(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of examples as dense blocks of postings, block maxima and exact top-k search."""
+    """Unit vectors of examples as postings by block and term, block maxima and exact top-k search."""
 
     vocabulary: dict[str, int] = field(default_factory=dict)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     n: int = 0
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights."""
-        at = np.array(sorted(counts), dtype=np.int64)
-        w = (1 + np.log([counts[i] for i in at.tolist()])) * self.idf[at]
-        return at, w / np.linalg.norm(w)
-
-    def add_all(self, vectors: list[tuple[np.ndarray, np.ndarray] | None]) -> None:
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    term: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: From the postings, made where they are first needed: where each term starts in each block, and block maxima.
+    tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending term numbers and unit weights of a text's words; words that are no terms are left out."""
+        known = self.vocabulary
+        found = sorted((i, n) for t, n in counts.items() if (i := known.get(t)) is not None)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, n = np.array(found, dtype=np.int64).T
+        w = (1 + np.log(n)) * self.weight[at]
+        return at, w / np.sqrt(w @ w)
+
+    def add_all(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.n = len(vectors)
-        n_blocks = -(-self.n // BLOCK)
-        self.maxima = np.zeros((len(self.vocabulary), n_blocks))
-        self.blocks = [{} for _ in range(n_blocks)]
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in zip(*v, strict=True) if v else ():
-                lists.setdefault((i // BLOCK, int(t)), []).append((i % BLOCK, float(w)))
-        for (b, t), posts in lists.items():
-            where, w = (np.array(x) for x in zip(*posts, strict=True))
-            self.blocks[b][t] = (where, w)
-            self.maxima[t, b] = w.max()
+        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(at) for at, _ in vectors])
+        term = np.concatenate([at for at, _ in vectors]).astype(np.int32)
+        order = np.lexsort((example, term, example // BLOCK))
+        self.example, self.term, self.value = example[order], term[order], np.concatenate([w for _, w in vectors])[order]
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.tables is None:
+            blocks, terms = -(-self.n // BLOCK), len(self.vocabulary)
+            key = (self.example // BLOCK).astype(np.int64) * terms + self.term
+            begin = np.searchsorted(key, np.arange(blocks * terms + 1)).astype(np.int32)
+            maxima = np.zeros(blocks * terms, np.float32)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            # Rounded up: a bound may be too large, never too small.
+            maxima[key[first]] = np.nextafter(np.maximum.reduceat(self.value, first).astype(np.float32), np.float32(2))
+            self.tables = begin, np.ascontiguousarray(maxima.reshape(blocks, terms).T)
+        return self.tables
 
     def top(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest (cosine over 0), best first; `skip` is left out."""
-        bounds = w @ self.maxima[at]
+        who, best = np.zeros(0, dtype=np.int64), np.zeros(0)
+        if not len(at):
+            return who, best
+        begin, maxima = self._tables()
+        terms = len(self.vocabulary)
+        bounds = w.astype(np.float32) @ maxima[at] * 1.0001 + 1e-6
         order = np.argsort(-bounds, kind="stable")
-        best = np.zeros(0)
-        who = np.zeros(0, dtype=np.int64)
-        for b in order.tolist():
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < best[-1] - 1e-12:
+        done, size = 0, FIRST_BLOCKS
+        while done < len(order):
+            live = order[done : done + size]
+            live = live[bounds[live] >= (best[-1] if len(best) == k else 0)]
+            if not len(live):
                 break
-            scores = np.zeros(BLOCK)
-            posts = self.blocks[b]
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                if t in posts:
-                    scores[posts[t][0]] += x * posts[t][1]
-            hit = np.flatnonzero(scores > 0)
-            ids = hit + b * BLOCK
-            keep = ids != skip
-            best, who = np.concatenate([best, scores[hit[keep]]]), np.concatenate([who, ids[keep]])
-            cut = np.lexsort((who, -np.round(best, 12)))[:k]
+            done, size = done + size, 2 * size
+            rows = (live[:, None] * terms + at).reshape(-1)
+            lo = begin[rows]
+            number = begin[rows + 1] - lo
+            posts = ragged(lo, number)
+            scores = np.bincount(self.example[posts], weights=self.value[posts] * np.repeat(np.tile(w, len(live)), number), minlength=self.n)
+            hit = np.flatnonzero(scores > (best[-1] - 1e-9 if len(best) == k else 0))
+            hit = hit[hit != skip]
+            best, who = np.concatenate([best, np.round(scores[hit], 12)]), np.concatenate([who, hit])
+            cut = np.lexsort((who, -best))[:k]
             best, who = best[cut], who[cut]
         return who, best
 
@@ -112,86 +128,63 @@ class BlockMaxIndex:
 class ToxicityModel:
     index: BlockMaxIndex
     labels: np.ndarray
-    ids: list[int]
+    ids: np.ndarray
     weights: tuple[float, float] = (1.0, 1.0)
     curve: tuple[float, float] = (1.0, 0.0)
-    bare: float = 0.0
     constant: float | None = None
-    starts: frozenset = frozenset()
-    cache: dict = field(default_factory=dict)
-
-    def counts(self, text: str) -> dict[int, int]:
-        known, out = self.index.vocabulary, {}
-        for w, n in Counter(_WORD.findall(text.lower())).items():
-            if w[:4] in self.starts:
-                for t in terms_of(w):
-                    i = known.get(t)
-                    if i is not None:
-                        out[i] = out.get(i, 0) + n
-        return out
+    base: float = 0.0
 
     def vote(self, who: np.ndarray, cosines: np.ndarray) -> float:
-        w = cosines**2 * np.where(self.labels[who] == 1, self.weights[1], self.weights[0])
-        return float((w[self.labels[who] == 1].sum() + 0.01) / (w.sum() + 0.02))
+        bad = self.labels[who] == 1
+        w = cosines**2 * np.where(bad, self.weights[1], self.weights[0])
+        return float((w[bad].sum() + 0.0001) / (w.sum() + 0.0002))
 
     def calibrated(self, vote: float) -> float:
         a, b = self.curve
         return float(1 / (1 + np.exp(-np.clip(a * np.log(vote / (1 - vote)) + b, -30, 30))))
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
+    def nearest(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score, and numbers and cosines of the examples behind it."""
         if self.constant is not None:
-            return self.constant, []
-        counts = self.counts(text)
-        if not counts:
-            return self.bare, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.cache:
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            who, cosines = self.index.top(*self.index.vector(counts), NEIGHBOURS)
-            self.cache[key] = (self.calibrated(self.vote(who, cosines)), [(self.ids[i], round(float(c), 6), int(self.labels[i])) for i, c in zip(who.tolist(), cosines, strict=True)]) if len(who) else (self.bare, [])
-        return self.cache[key]
-
-
-def fit(ids: list[int], texts: list[str], labels: list[int], base_rate: float, max_features: int = MAX_FEATURES, min_chi2: float = MIN_CHI2) -> ToxicityModel:
+            return self.constant, np.zeros(0, np.int64), np.zeros(0)
+        who, cosines = self.index.top(*self.index.vector(words_of(text)), NEIGHBOURS)
+        return (self.calibrated(self.vote(who, cosines)) if len(who) else self.base), who, cosines
+
+    def score(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
+        score, who, cosines = self.nearest(text)
+        return score, [(int(self.ids[i]), round(float(c), 6), int(self.labels[i])) for i, c in zip(who.tolist(), cosines, strict=True)]
+
+
+def fit(ids: list[int], texts: list[str], labels: list[int], base_rate: float) -> ToxicityModel:
     """Model of the given examples; base_rate is the rate of label 1 among all labelled rows."""
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(BlockMaxIndex(), y, ids, constant=float(y.mean()) if len(y) else 0.0)
-    bags = [all_terms(t) for t in texts]
-    seen = (Counter(), Counter())
+        return ToxicityModel(BlockMaxIndex(), y, np.array(ids, dtype=np.int64), constant=float(y.mean()) if len(y) else 0.0)
+    bags = [words_of(t) for t in texts]
+    seen = Counter()
+    bad = Counter()
     for bag, label in zip(bags, labels, strict=True):
-        seen[label].update(bag.keys())
+        seen.update(bag.keys())
+        if label:
+            bad.update(bag.keys())
+    words = sorted(seen)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    chosen = []
-    for t in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][t], seen[0][t]
-        if a + b >= 3:
-            c, d = n1 - a, n0 - b
-            chi2 = (a * d - b * c) ** 2 * (n1 + n0) / max((a + b) * (c + d) * n1 * n0, 1)
-            # Terms that are as good as everywhere say nothing by their presence.
-            if chi2 >= min_chi2 and a * n0 > b * n1:
-                chosen.append((-chi2, t, a + b))
-    chosen = sorted(chosen)[:max_features]
-    index = BlockMaxIndex({t: i for i, (_, t, _) in enumerate(chosen)}, np.array([np.log((1 + len(y)) / (1 + df)) + 1 for _, _, df in chosen]))
-    model = ToxicityModel(index, y, ids, starts=frozenset(t.rstrip("*")[:4] for t in index.vocabulary))
+    df = np.array([seen[t] for t in words], dtype=np.float64)
+    a = np.array([bad[t] for t in words], dtype=np.float64)
+    b = df - a
+    chi2 = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n1 + n0) / np.maximum(df * (n1 + n0 - df) * n1 * n0, 1)
+    index = BlockMaxIndex({t: i for i, t in enumerate(words)}, (np.log((1 + len(y)) / (1 + df)) + 1) * np.maximum(np.sqrt(chi2), LEAST_RELEVANCE))
+    vectors = [index.vector(bag) for bag in bags]
+    heaviest = [int(at[w.argmax()]) if len(at) else -1 for at, w in vectors]
+    order = sorted(range(len(y)), key=lambda i: (heaviest[i], i))
+    index.add_all([vectors[i] for i in order])
+    y = y[order]
+    model = ToxicityModel(index, y, np.array(ids, dtype=np.int64)[order], base=base_rate)
     model.weights = ((1 - base_rate) * len(y) / n0, base_rate * len(y) / n1)
-    counts = [model.counts(t) for t in texts]
-    vectors = [index.vector(c) if c else None for c in counts]
-    index.add_all(vectors)
-    w = np.array([model.weights[v] for v in y])
-    none = np.array([v is None for v in vectors])
-    model.bare = float((w * y)[none].sum() / max(w[none].sum(), 1e-9))
-    logits, targets, weights = [], [], []
-    for i, v in enumerate(vectors):
-        if v is not None:
-            who, cosines = index.top(*v, NEIGHBOURS, skip=i)
-            if len(who):
-                vote = model.vote(who, cosines)
-                logits.append(np.log(vote / (1 - vote)))
-                targets.append(y[i])
-                weights.append(w[i])
-    model.curve = _logistic(np.array(logits), np.array(targets, dtype=float), np.array(weights))
+    found = [(i, *index.top(*vectors[k], NEIGHBOURS, skip=i)) for i, k in enumerate(order)]
+    votes = np.array([model.vote(who, cosines) for _, who, cosines in found if len(who)])
+    own = np.array([i for i, who, _ in found if len(who)], dtype=np.int64)
+    model.curve = _logistic(np.log(votes / (1 - votes)), y[own].astype(float), np.array(model.weights)[y[own]])
     return model
 
 
@@ -219,16 +212,23 @@ def fit_on(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     picked = [once.where(F.col("y") == v).orderBy(F.xxhash64("i"), "i").limit(half) for v in (0, 1)]
     # At most max_examples rows of two numbers: a size that does not grow.
     few = F.broadcast(picked[0].unionByName(picked[1]))
-    found = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(few, "i").groupBy("i", "y").agg(F.first(F.coalesce("t", F.lit(""))).alias("t")).orderBy(F.xxhash64("i"), "i").collect()
+    found = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(few, "i").groupBy("i", "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"), "i").collect()
     return fit([r["i"] for r in found], [r["t"] for r in found], [r["y"] for r in found], float(rate))
 
 
 def score_docs(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:
     """docs with `out`: struct(score, evidence: nearest examples with cosine and label)."""
 
-    @F.pandas_udf(RESULT)
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        got = [model.score(t or "") for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in got], "evidence": [[{"example": i, "cosine": c, "label": y} for i, c, y in e] for _, e in got]})
+    @F.arrow_udf(RESULT)
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            coded = texts.dictionary_encode()  # copies in a batch are searched once
+            got = [model.nearest(t or "") for t in coded.dictionary.to_pylist()]
+            nothing = model.nearest("") if coded.null_count else None
+            rows = [nothing if i is None else got[i] for i in coded.indices.to_pylist()]
+            who = np.concatenate([np.zeros(0, np.int64), *(r[1] for r in rows)])
+            evidence = pa.StructArray.from_arrays([pa.array(model.ids[who], pa.int64()), pa.array(np.round(np.concatenate([np.zeros(0), *(r[2] for r in rows)]), 6)), pa.array(model.labels[who], pa.int32())], ["example", "cosine", "label"])
+            ends = np.cumsum([0, *(len(r[1]) for r in rows)])
+            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), evidence)], ["score", "evidence"])
 
     return docs.withColumn(out, scored(F.col(text)))
