@@ -8,10 +8,14 @@
    IN_ARTICLE_SHARE holds instead. On large hosts block elements outside articles are template as well, whatever their
    share, if pages with MANY different longest blocks hold them; near copies mostly share their longest block.
 3. Elements that are never main text go as well: menus, page headers, footers, sidebars, notices, adverts, forms,
-   scripts, styles, reader comments, hidden ones; by their tag, role, class or id.
+   scripts, styles, hidden ones, by their tag or role; outside articles also those one of whose classes, or whose id, is
+   as a whole a name of NAMES. Inside articles only the names of reader comments and adverts count.
 4. What is left of the articles (else of main, else of the body) gives blocks. White space inside a block becomes one
    space, blocks are trimmed and joined by one space in page order.
 
+Parsing takes time in proportion to the page, whatever it holds: each character is passed once, a tag that never ends
+is text, and from the first quotation mark that never ends on a tag ends at its next `>`.
+
 Defined results: null or empty html gives an empty text; a page whose host cannot be read takes part in no template;
 repeated rows get equal results each; empty tables give empty results; other columns are ignored. Templates of a host
 are a bounded list: subtrees on a given share of its pages are at most as many as a page's elements over that share, those
@@ -46,14 +50,17 @@ ENDS = {t: frozenset({"p"}) for t in "address article aside blockquote center de
 }
 #: An element that opens here shields what is open outside it.
 SCOPES = frozenset("html body table td th ul ol dl article section main div aside nav header footer form blockquote figure".split())
+#: Whole classes and ids that name a function of the page.
 NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertisements adsense advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription "
-    "signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus replies reply respond share sharing social related recommended widget login search pagination pager skip toc".split()
+    "ad ads advert adverts advertisement advertisements banner sponsored promo cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices site-notice alert alerts popup modal overlay newsletter "
+    "newsletter-signup signup subscribe sidebar side-bar menu main-menu nav navbar nav-bar navigation site-nav breadcrumb breadcrumbs header page-header site-header footer page-footer site-footer masthead topbar toolbar share share-buttons "
+    "social social-links related-links related-posts recommended recommendations widget login search search-form searchbox pagination pager skip-link toc".split()
 )
+INNER_NAMES = frozenset("comments comment-list comment-section commentlist comment-form disqus disqus_thread ad ads advert adverts advertisement advertisements adsbygoogle".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_TAG = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
@@ -65,62 +72,117 @@ class Node:
         self.hash = 0
 
 
-def _element(tag: str, attributes: str) -> Node:
+def _element(tag: str, attributes: str, inside: bool) -> Node:
     found = {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)} if attributes and not attributes.isspace() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".strip()
     junk = tag in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if not junk and names and tag not in ("html", "body", "article", "main"):
-        junk = any(w.lower() in NAMES for w in _NAME.findall(names))
-    elif not junk and names and tag == "article":
-        junk = any(w.lower() in ("comment", "comments", "reply", "ad", "advert", "promo", "related") for w in _NAME.findall(names))
+    if not junk and names and tag not in ("html", "body", "main"):
+        own = names.lower().split()
+        junk = not INNER_NAMES.isdisjoint(own) or not inside and tag != "article" and not NAMES.isdisjoint(own)
     return Node(tag, names, junk)
 
 
+class _Open:
+    """The open elements. How many of each tag are open is known for every scope, so that no search for one that is not there walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.scopes: list[tuple[int, dict[str, int]]] = [(0, {})]  # where the scope's element stands, and the tags open inside it
+        self.all: dict[str, int] = {}
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        for counts in (self.scopes[-1][1], self.all):
+            counts[node.tag] = counts.get(node.tag, 0) + 1
+        if node.tag in SCOPES:
+            self.scopes.append((len(self.stack) - 1, {}))
+
+    def pop(self) -> str:
+        tag = self.stack.pop().tag
+        if tag in SCOPES:
+            self.scopes.pop()
+        self.scopes[-1][1][tag] -= 1
+        self.all[tag] -= 1
+        return tag
+
+    def end(self, tag: str) -> None:
+        """The end tag of something that is not open here changes nothing."""
+        if (self.all if tag in SCOPES else self.scopes[-1][1]).get(tag, 0):
+            while self.pop() != tag:
+                pass
+
+    def close(self, tags: frozenset[str]) -> None:
+        """Ends all open elements of these tags up to the first scope of another tag."""
+        while True:
+            at, inner = self.scopes[-1]
+            if any(inner.get(t, 0) for t in tags):
+                while self.pop() not in tags:
+                    pass
+            elif at and self.stack[at].tag in tags:
+                while len(self.stack) > at:
+                    self.pop()
+            else:
+                return
+
+
 def parse(page: str) -> Node:
     """The root of the page's elements; text is decoded, comments are gone."""
     root = Node("#root")
-    stack = [root]
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].children.append(html_lib.unescape(page[at:]))
-            break
-        if m.start() > at:
-            stack[-1].children.append(html_lib.unescape(page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>"))
+    opened = _Open(root)
+    text, at, end, quotes, last_gt = 0, 0, len(page), True, page.rfind(">")
+
+    def take(stop: int) -> None:
+        if stop > text:
+            opened.stack[-1].children.append(html_lib.unescape(page[text:stop]))
+
+    while (at := page.find("<", at)) >= 0:
+        mark = page[at + 1 : at + 2]
+        if mark in ("!", "?"):
+            take(at)
+            kind, close = next(((k, c) for k, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(k, at)), ("", ">"))
+            stop = page.find(close, at + len(kind or mark))
+            if kind == "<![CDATA[":
+                opened.stack[-1].children.append(page[at + len(kind) : stop if stop >= 0 else end])
+            text = at = stop + len(close) if stop >= 0 else end
+            continue
+        closing = mark == "/"
+        name = _TAG.match(page, at + 1 + closing) if at < last_gt else None
+        if name is None:
+            at += 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES and tag not in SCOPES:
-                    break  # the end tag of something that is not open here
+        stop, look = -1, name.end()
+        while quotes and stop < 0:
+            m = _STOP.search(page, look)
+            if m is None:
+                quotes = False
+            elif m[0] == ">":
+                stop = m.start()
+            elif not page[look : m.start()].rstrip().endswith("="):
+                look = m.end()  # a quotation mark that opens no value
+            elif (look := page.find(m[0], m.end()) + 1) == 0:
+                quotes = False
+        if stop < 0:
+            stop = page.find(">", name.end())
+        take(at)
+        attributes = page[name.end() : stop]
+        text = at = stop + 1
+        tag = name[0].lower()
+        if closing:
+            opened.end(tag)
             continue
-        closes = ENDS.get(tag)
-        if closes:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    del stack[i:]
-                    if not any(x.tag in closes for x in stack[1:]):
-                        break
-                elif stack[i].tag in SCOPES:
-                    break
-        node = _element(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        if tag in ENDS:
+            opened.close(ENDS[tag])
+        node = _element(tag, attributes, bool(opened.all.get("article")))
+        opened.stack[-1].children.append(node)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             node.children.append(page[at : close.start() if close else end])
-            at = close.end() if close else end
+            text = at = close.end() if close else end
             continue
-        stack.append(node)
+        opened.push(node)
+    take(end)
     return root
 
 
