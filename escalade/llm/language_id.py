@@ -5,11 +5,13 @@ position gets language probabilities from the two hidden states around it; a doc
 over all its positions.
 
 Training takes a bounded sample: at most `max_docs` labelled documents outside the held-out fold, in the order of a
-hash of the id and the same number for each language, and up to STRETCHES_A_DOC stretches of each, evenly spread.
+hash of the id and the same number for each language, and up to STRETCHES_A_DOC stretches of each, evenly spread. The
+languages are the `max_langs` most frequent ones. Executors cut the stretches, so that the driver gets at most
+max_docs * STRETCHES_A_DOC * STRETCH bytes of text.
 
 Defined results: null text, or text without a letter, is `und` with score 0; null langs teach nothing; without a
-learned language all texts are `und`; repeated rows get equal results; empty tables give empty results; other columns
-are passed through untouched.
+learned language all texts are `und`; repeated rows get equal results and teach once; a null doc_id is an id like
+others; empty tables give empty results; other columns are passed through, one that has the name of `out` is replaced.
 """
 
 from __future__ import annotations
@@ -19,16 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, row_key
 
 HIDDEN = 6
 STRETCH = 64
 BATCH = 2048
 MAX_DOCS = 2400
+MAX_LANGS = 100
 STRETCHES_A_DOC = 4
 EPOCHS = 5
 LEAST_STEPS = 120
@@ -185,23 +188,28 @@ def stretches(text: bytes, most: int) -> np.ndarray:
     return out
 
 
-def fit_on(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2, max_docs: int = MAX_DOCS) -> BiGRU | None:
-    """A network for the langs of docs; the driver gets at most max_docs texts. None without a labelled text."""
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def _stretches_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [x.astype("<u2").tobytes() for x in stretches(t.encode(), STRETCHES_A_DOC)])
+
+
+def fit_on(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> BiGRU | None:
+    """A network for the langs of docs. None without a labelled text."""
     rows = docs.where((fold(F.col(doc_id), folds) != held_out) & F.col(lang).isNotNull() & (F.col(lang) != "und") & (F.length(F.col(text)) > 0))
-    keys = rows.select(F.col(lang).alias("y"), F.xxhash64(F.col(doc_id)).alias("k"))
-    langs = sorted(r["y"] for r in keys.select("y").distinct().collect())  # as many rows as languages
+    keys = rows.select(F.col(lang).alias("y"), *row_key(doc_id, text))
+    # At most max_langs rows.
+    langs = sorted(r["y"] for r in keys.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(max_langs).collect())
     if not langs:
         return None
-    each = max(1, max_docs // len(langs))
-    tops = [rows.where(F.col(lang) == y).orderBy(F.xxhash64(F.col(doc_id)), doc_id).limit(each).select(F.col(lang).alias("y"), F.col(text).alias("t")) for y in langs]
-    x, y = [], []
-    for top in tops:
-        for r in top.collect():
-            s = stretches(r["t"].encode(), STRETCHES_A_DOC)
-            x.append(s)
-            y += [langs.index(r["y"])] * len(s)
+    first = Window.partitionBy("y").orderBy(F.xxhash64("key_id"), "key_id", "key_text")
+    # Spark keeps the first rows of each language in every task before it shuffles them; at most max_docs are left.
+    picked = keys.where(F.col("y").isin(langs)).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(1, max_docs // len(langs))).drop("rank").distinct()
+    cut = rows.select(F.col(lang).alias("y"), *row_key(doc_id, text), F.col(text).alias("t")).join(F.broadcast(picked), ["y", "key_id", "key_text"], "left_semi").select("y", "key_id", "key_text", _stretches_of("t").alias("s"))
+    sample = cut.dropDuplicates(["y", "key_id", "key_text"]).orderBy("y", F.xxhash64("key_id"), "key_id", "key_text").collect()
+    x = np.stack([np.frombuffer(s, "<u2") for r in sample for s in r["s"]])
+    y = np.array([langs.index(r["y"]) for r in sample for _ in r["s"]])
     net = BiGRU(langs)
-    net.train(np.concatenate(x), np.array(y))
+    net.train(x, y)
     return net
 
 
