@@ -5,12 +5,13 @@ each, as members of archive files in a directory. An archive is its members one
 offset, stored size, crc32, id, whether the id is null, unpadded size), then the index's offset and size and the
 magic `MAR1`.
 
-Writing (`format("media_archive")`): each task writes archives under names of its own; a manifest that lists the
-archives of the successful tasks is written at commit, and readers see only these.
+Writing (`format("media_archive")`): each task writes archives under names of its own; a manifest of the write that lists
+the archives of its successful tasks is written at commit, and readers see the archives of all manifests. A second
+write to a folder thus adds to it.
 
 Reading plans byte ranges of PARTITION_BYTES over the archives from their sizes alone; a task reads the index of its archive
 and streams the members that start in its range as Arrow batches. A member that cannot be read, or whose crc32
-differs, is read again at its own offset, up to ATTEMPTS times, without the others.
+differs, is read again at its own offset, up to ATTEMPTS times, without the others. So is an archive's index.
 
 Paths are URIs of any file system that pyarrow knows (file, hdfs, s3, gs).
 
@@ -26,7 +27,7 @@ import struct
 import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,8 +47,8 @@ ARCHIVE_BYTES = 64 << 20
 PARTITION_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 4
-MANIFEST = "_MANIFEST.json"
-_INDEX = np.dtype([("offset", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("id", "<i8"), ("null", "u1"), ("n_bytes", "<u8")])
+MANIFEST = "_MANIFEST"
+_INDEX = np.dtype([("offset", "<u8"), ("size", "<u8"), ("crc", "<u4"), ("id", "<i8"), ("null", "u1"), ("n_bytes", "<u8")])
 SCHEMA = "doc_id long, n_bytes long, archive string, member_offset long, media binary"
 
 
@@ -167,7 +168,7 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Archives | None]) -> None:
         fs, root = _file_system(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
 
     def abort(self, messages: list[Archives | None]) -> None:
@@ -177,19 +178,34 @@ class ArchiveWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{n}")
 
 
-def read_member(fs: pafs.FileSystem, path: str, offset: int, size: int, crc: int, attempts: int = ATTEMPTS) -> bytes:
-    """A member by its offset; opened anew for each attempt."""
+def again(what: str, read: Callable[[], bytes], whole: Callable[[bytes], bool], attempts: int = ATTEMPTS) -> bytes:
+    """What read() gives, asked for up to `attempts` times until it is whole."""
+    problem = ""
     for k in range(attempts):
         try:
-            with fs.open_input_file(path) as f:
-                data = f.read_at(size, offset)
-            if zlib.crc32(data) == crc:
+            if whole(data := read()):
                 return data
-            problem = "its crc32 differs"
+            problem = "it is not whole"
         except OSError as e:
             problem = str(e)
         time.sleep(0.05 * 2**k if k < attempts - 1 else 0)
-    raise OSError(f"{path}, member at {offset}: {problem}")
+    raise OSError(f"{what}: {problem}")
+
+
+def _stretch(fs: pafs.FileSystem, path: str, offset: int, size: int) -> bytes:
+    with fs.open_input_file(path) as f:
+        return f.read_at(size, offset)
+
+
+def read_member(fs: pafs.FileSystem, path: str, offset: int, size: int, crc: int, attempts: int = ATTEMPTS) -> bytes:
+    """A member by its offset; opened anew for each attempt."""
+    return again(f"{path}, member at {offset}", lambda: _stretch(fs, path, offset, size), lambda data: zlib.crc32(data) == crc, attempts)
+
+
+def read_index(fs: pafs.FileSystem, path: str, archive_size: int) -> np.ndarray:
+    end = again(f"{path}, its end", lambda: _stretch(fs, path, archive_size - 20, 20), lambda data: data[16:] == MAGIC)
+    at, length = struct.unpack_from("<QQ", end)
+    return np.frombuffer(again(f"{path}, its index", lambda: _stretch(fs, path, at, length), lambda data: len(data) == length), _INDEX)
 
 
 class ArchiveReader(DataSourceReader):
@@ -198,8 +214,11 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         fs, root = _file_system(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-            names = json.loads(f.read())
+        names: list[str] = []
+        for i in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda i: i.base_name):
+            if i.base_name.startswith(MANIFEST):
+                with fs.open_input_stream(i.path) as f:
+                    names += json.loads(f.read())
         sizes = [(i.base_name, i.size) for i in fs.get_file_info([f"{root}/{n}" for n in names])] if names else []
         plan = [ByteRange(n, size, at, min(at + self.partition_bytes, size)) for n, size in sizes for at in range(0, size, self.partition_bytes)]
         return plan or [ByteRange("", 0, 0, 0)]
@@ -209,11 +228,8 @@ class ArchiveReader(DataSourceReader):
             return
         fs, root = _file_system(self.path)
         path = f"{root}/{partition.archive}"
+        index = read_index(fs, path, partition.size)
         with fs.open_input_file(path) as f:
-            at, length = struct.unpack("<QQ", f.read_at(16, partition.size - 20))
-            if f.read_at(4, partition.size - 4) != MAGIC:
-                raise ValueError(f"{path} is no archive")
-            index = np.frombuffer(f.read_at(length, at), _INDEX)
             own = index[(index["offset"] >= partition.start) & (index["offset"] < partition.end)]
             rows: list[tuple] = []
             size = 0
