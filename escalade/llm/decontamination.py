@@ -12,8 +12,9 @@ a benchmark item; an item with fewer words, but at least one, is one window.
    Proximity matches are the (document, item) pairs with a near place.
 
 Defined results: null or wordless text has no words and no hits; null items count for nothing; items with equal
-windows each count; repeated rows get equal results each; empty tables give empty results or no hits; other columns
-of either table are ignored.
+windows each count; repeated rows get equal results each; empty tables give empty results or no hits; a null doc_id
+is an id like others; other columns of docs are passed through, those that have the name of a result are replaced;
+other columns of the benchmark are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 RAREST = 2
 SLOP = 4
+RESULTS = ("n_words", "n_hit", "items", "contaminated", "near_items")
 
 
 def words_of(text: Column) -> Column:
@@ -130,10 +132,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     phrases = phrases_at(docs, windows, places, doc_id, text).select("key_id", "key_text", "n_hit", "items")
     near = places.select("key_id", "key_text", "window_id").distinct().join(windows.select("window_id", F.explode("items").alias("item")), "window_id").groupBy("key_id", "key_text").agg(F.array_sort(F.collect_set("item")).alias("near"))
     matches = saved(near.join(phrases, ["key_id", "key_text"], "left"), "matches")  # a phrase match is a proximity match
+    kept = [c for c in docs.columns if c.lower() not in RESULTS]
     own = docs.select(*docs.columns, *[c.alias(f"__{n}") for n, c in zip(("key_id", "key_text"), row_key(doc_id, text), strict=True)])
     found = matches.select(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"), F.col("n_hit").alias("__n_hit"), F.col("items").alias("__items"), F.col("near").alias("__near"))
     joined = own.withColumn("__n_words", F.size(words_of(F.col(text))).cast("long")).join(found, ["__key_id", "__key_text"], "left")
-    return joined.select(*docs.columns, F.col("__n_words").alias("n_words"), F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"), (F.coalesce("__n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("__near", F.array().cast("array<string>")).alias("near_items"))
+    return joined.select(*kept, F.col("__n_words").alias("n_words"), F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"), (F.coalesce("__n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("__near", F.array().cast("array<string>")).alias("near_items"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
