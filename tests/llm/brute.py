@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -120,3 +121,40 @@ def op7(docs, items):
                     found |= windows[tuple(w[i : i + n])]
         out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return out
+
+
+class _Article(HTMLParser):
+    """Blocks of the article element, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.dropped, self.parts, self.blocks = 0, 0, [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.dropped += tag in ("nav", "aside", "footer", "form", "script", "style")
+        if tag not in ("b", "i", "em", "strong", "a", "span", "code"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "em", "strong", "a", "span", "code"):
+            self.flush()
+        self.inside -= tag == "article"
+        self.dropped -= tag in ("nav", "aside", "footer", "form", "script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.dropped:
+            self.parts.append(data)
+
+
+def op8(page):
+    p = _Article()
+    p.feed(page or "")
+    p.close()
+    p.flush()
+    return " ".join(p.blocks)
