@@ -532,14 +532,15 @@ def join_check(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
     old = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderstatus").alias("state"))
-    new = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.max("l_linestatus").alias("state"))
+    # The batch: orders with a late line; others stay as they were.
+    new = D.table(spark, sf, "lineitem").where("l_shipdate >= date '1997-01-01'").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.max("l_linestatus").alias("state"))
     return store.upserted(old, new)
 
 
 @query
 def resume_todo(spark: SparkSession, sf: str) -> DataFrame:
-    done = D.table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id")).distinct()
-    return store.todo(D.table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id")), done)
+    done = D.table(spark, sf, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("query_id")).distinct()
+    return store.todo(D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id")), done)
 
 
 @query

@@ -220,7 +220,7 @@ SQL: dict[str, str] = {
         select doc_id, coalesce(max(z) filter (feature = 'structural.prompt_token_len'), 0) as C_length, coalesce(max(z) filter (feature = 'structural.mattr'), 0) as C_density, 0.0::double as C_atypical,
           coalesce(avg(z) filter (starts_with(feature, 'linguistic_cues.') and feature <> 'linguistic_cues.n_question_marks'), 0) as C_linguistic from (select doc_id, feature, (value - mean) / std as z from flat join zs using (feature)) group by doc_id)"""),
     "normalize_answer": f"select conv_id, turn, {normalized('text')} as answer from conversations",
-    "paraphrase_surfaces": f"""with x as (select conv_id, turn, {trim("substr(text, 1, 40)")} as t, sha256(conv_id || '-' || turn) as h from conversations)
+    "paraphrase_surfaces": f"""with x as (select conv_id, turn, {trim("text")} as t, sha256(conv_id || '-' || turn) as h from conversations)
         select conv_id, turn, t as surface from x union all select conv_id, turn, {q(L.PARAPHRASE_PREFIXES)}[(('0x' || substr(h, i + 1, 2))::int + i) % 3 + 1] || ' ' || t from x, (values (1), (2)) v(i)""",
     "surface_prompts": with_(MC, f"""select query_id, no as surface_no, s || substr(prompt, length(stem) + 1) as surface_prompt from (select 'n' || n_nationkey as query_id, i::bigint as no, stem, prompt,
         case when i = 0 then stem else {q(L.PARAPHRASE_PREFIXES)}[(('0x' || substr(sha256('n' || n_nationkey), i + 1, 2))::int + i) % 3 + 1] || ' ' || stem end as s from mcp, (values (0), (1), (2)) v(i))"""),
@@ -281,7 +281,7 @@ SQL: dict[str, str] = {
         union all select 'missing_ids', '', count(*) from base where query_id not in (select query_id from r) having count(*) > 0
         union all select 'mock_backend', 'mock', 1 union all select 'manifest_count', '7', count(*) from r"""),
     "join_check": with_(JOINED, "select count(*) as joined, count(*) filter (has_strong) as with_strong from joined"),
-    "upsert": "with n as (select l_orderkey as query_id, max(l_linestatus) as state from lineitem where l_orderkey % 3 = 0 group by 1) select o_orderkey as query_id, o_orderstatus as state from orders where o_orderkey not in (select query_id from n) union all select * from n",
-    "resume_todo": "select c_custkey as query_id from customer where c_custkey not in (select o_custkey from orders)",
+    "upsert": "with n as (select l_orderkey as query_id, max(l_linestatus) as state from lineitem where l_shipdate >= date '1997-01-01' group by 1) select o_orderkey as query_id, o_orderstatus as state from orders where o_orderkey not in (select query_id from n) union all select * from n",
+    "resume_todo": "select o_orderkey as query_id from orders where o_orderkey not in (select l_orderkey from lineitem where l_linestatus = 'F')",
     "last_duplicate_wins": "select o_custkey, max(o_orderkey) as o_orderkey, arg_max(o_orderpriority, o_orderkey) as o_orderpriority from orders group by o_custkey",
 }
