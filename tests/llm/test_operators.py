@@ -152,13 +152,16 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in near} >= {1, 2, None} and len({(r["doc_id"], r["key_text"]) for r in near}) == len(near)
 
 
-def test_decontamination_sql(spark, sf):
-    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, name):
     db = duckdb.connect()
-    for name in ("documents", "benchmark"):
-        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
-    want = db.execute(queries.oracle_sql()["op7_decontamination"]).fetchall()
-    assert rows_of(queries.op7_decontamination(spark, sf), *columns) == sorted(want)
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = db.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert rows_of(got, *columns) == sorted(want.fetchall())
 
 
 def test_packing(docs):
