@@ -24,15 +24,18 @@ Groups. Sets under one signature: up to ALL_PAIRS of them give all pairs; larger
 member, and their members are noted. Buckets of signatures are read in pieces of MOST_SIGNATURES; what a bucket needs
 between pieces is one member for each signature.
 
-Few notes are needed. A set with fewer notes than spare meets each partner in a small group too, and its notes go.
+Few notes are needed. Let the notes of a set be in order of their groups' sizes, largest first. Of the signatures that
+two linked sets share, at least `spare` for either of them, the one of the smallest group stands behind spare - 1 others
+in both orders. So each set's first spare - 1 notes go, and every pair still meets in a group or has met in a small one.
 Common passages, which make large groups, thus weigh only with sets that mostly consist of them.
 
-Once the first classes are known, members of different classes of the groups that are left are compared, in blocks,
-twice: first a forest of the pairs that may link joins most classes, then all pairs that still lie in different
-classes and may link follow. Groups of the same members count once. So a group of near copies of any size costs rows in
-proportion to its size, and yet every pair that could join two classes is compared. Pairs meet as sketches, the parities
-of the numbers of a set's hashes in some cells: an element more or less changes one parity, so pairs with more than
-floor((n1 + n2) / 7) differing cells go, and no linked pair does. What is left is verified on the whole sets.
+Once the first classes are known, groups that hold several classes are bundled by their most frequent class, and the
+members of a bundle, each once, are compared with those of other classes, in blocks, twice: first a forest of the pairs
+that may link joins most classes, then all pairs that still lie in different classes and may link follow. So a group of
+near copies of any size costs rows in proportion to its size, and yet every pair that could join two classes is compared.
+Pairs meet as sketches, the parities of the numbers of a set's hashes in some cells: an element more or less changes one
+parity, so pairs with more than floor((n1 + n2) / 7) differing cells go, and no linked pair does. What is left is
+verified on the whole sets.
 
 Defined results: null or wordless text has size 0 and is its own class; copies and repeated rows share a class; a
 null doc_id never becomes a class id unless all ids of the class are null; empty tables give empty results; other
@@ -45,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Forest, Scratch, components, mix64, partitions, ragged, row_key, saved, text_chunks
@@ -247,6 +250,9 @@ def _member_blobs(buckets: int):
                 place = bucket * len(sets) + who
                 order = np.argsort(place, kind="stable")
                 low, place = (sig[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), place[order]
+                # Signatures of a set that have the same low half count once.
+                halves = np.sort((who.astype(np.uint64) << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF)))
+                np.subtract.at(spare, (halves[1:][halves[1:] == halves[:-1]] >> np.uint64(32)).astype(np.int64), 1)
                 first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
                 counts = np.diff(np.append(first, len(place))).astype("<u4")
                 bucket, who = place[first] // len(sets), place[first] % len(sets)
@@ -359,22 +365,27 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
-def mixed_blocks(placed: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Blocks (sig, block, m) of about BLOCK members of those groups of placed(sig, set_id, n, component) that hold several classes; of groups with the same members one."""
-    of_group = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.hash("set_id")).alias("y"))
-    once = of_group.where("lo < hi").groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    dealt = placed.join(once, "sig").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).join(sketches, "set_id")
-    return dealt.groupBy("sig", "block").agg(F.collect_list(F.struct("set_id", "n", "component", "sketch")).alias("m"))
+def mixed_blocks(members: DataFrame, classes: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """Blocks (bundle, home, block, m) of about BLOCK members of those groups of members(sig, set_id) that hold several classes, bundled by their most frequent class; home: the members of that class."""
+    placed = scratch.save(members.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component")), "placed")
+    shares = placed.groupBy("sig", "component").agg(F.count("*").alias("k"))
+    mixed = scratch.save(shares.groupBy("sig").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("sig", F.col("top.component").alias("bundle")), "mixed")
+    once = scratch.save(placed.join(mixed, "sig").select("bundle", "set_id", "component", (F.col("component") == F.col("bundle")).alias("home")).distinct(), "bundled")
+    sizes = scratch.save(once.groupBy("bundle", "home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "bundles")
+    dealt = once.join(sizes, ["bundle", "home"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).join(sketches, "set_id")
+    blocks = scratch.save(dealt.groupBy("bundle", "home", "block").agg(F.collect_list(F.struct("set_id", "n", "component", "sketch")).alias("m")), "blocks", codec="lz4")
+    scratch.drop(placed, mixed, once, sizes)
+    return blocks
 
 
 def across_classes(blocks: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of members of one group's blocks that lie in different classes and whose sizes and sketches allow a link.
+    """Pairs (a, b) of members of one bundle's blocks that lie in different classes and whose sizes and sketches allow a link.
 
-    A row holds two blocks of a group, and only pairs that pass leave it: all of them, or, for a forest, those that
-    join classes that the task's earlier pairs do not join.
+    A row holds two blocks of a bundle, not both of its own class, and only pairs that pass leave it: all of them, or,
+    for a forest, those that join classes that the task's earlier pairs do not join.
     """
-    x, y = (blocks.select("sig", F.col("block").alias(f"block_{k}"), F.col("m").alias(k)) for k in ("x", "y"))
-    return x.join(y, "sig").where("block_x <= block_y").select("x", "y").mapInArrow(_compare_blocks(forest), "a long, b long").distinct()
+    x, y = (blocks.select("bundle", F.col("home").alias(f"home_{k}"), F.col("block").alias(f"block_{k}"), F.col("m").alias(k)) for k in ("x", "y"))
+    return x.where("not home_x").join(y, "bundle").where("home_y or block_x <= block_y").select("x", "y").mapInArrow(_compare_blocks(forest), "a long, b long").distinct()
 
 
 def _blocks(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
@@ -471,13 +482,15 @@ def _classes(holders: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.save(possible(groups.where("sig is null").select("a", "b").distinct(), sketches), "pairs")
     classes = components(_linked(pairs, holders, scratch), scratch=scratch)
     noted = groups.where("sig is not null").select("sig", F.col("a").alias("set_id"), F.col("b").alias("spare"))
-    needed = noted.groupBy("set_id").agg(F.count("*").alias("notes"), F.min("spare").alias("spare")).where("notes >= spare").select("set_id")
-    members = scratch.save(noted.join(scratch.save(needed, "needed"), "set_id", "left_semi").select("sig", "set_id").distinct().join(sketches.select("set_id", "n"), "set_id"), "members")
-    scratch.drop(groups)
+    # Written first: a join straight on the aggregate could not be split where one group is large.
+    sizes = scratch.save(noted.groupBy("sig").agg(F.count("*").alias("size")), "group-sizes")
+    order = Window.partitionBy("set_id").orderBy(F.desc("size"), "sig")
+    # A set has at most as many notes as signatures.
+    ranked = noted.distinct().join(sizes, "sig").withColumn("rank", F.row_number().over(order))
+    members = scratch.save(ranked.where("rank >= spare").select("sig", "set_id"), "members")
+    scratch.drop(groups, sizes)
     for forest in (True, False):
-        placed = scratch.save(members.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("component")), "placed")
-        blocks = scratch.save(mixed_blocks(placed, sketches.select("set_id", "sketch")), "blocks", codec="lz4")
-        scratch.drop(placed)
+        blocks = mixed_blocks(members, classes, sketches, scratch)
         if blocks.isEmpty():
             break
         across = scratch.save(across_classes(blocks, forest), "pairs")
