@@ -100,7 +100,8 @@ def sample(rows: DataFrame, k: int, seed: int, key: str) -> DataFrame:
 def stratified_sample(rows: DataFrame, k: int, seed: int, key: str, stratum: str) -> DataFrame:
     """k rows drawn from the strata in turn: the first of each, the second of each, and so on."""
     turn = F.row_number().over(Window.partitionBy(stratum).orderBy(random_key(seed, F.col(key)), key))
-    return rows.withColumn("turn", turn).orderBy("turn", stratum).limit(k)
+    # No stratum gives more than k: Spark keeps the first k of each in every task before it shuffles them.
+    return rows.withColumn("turn", turn).where(F.col("turn") <= k).orderBy("turn", stratum).limit(k)
 
 
 def disjoint_splits(rows: DataFrame, sizes: dict[str, int], seed: int, key: str) -> DataFrame:

@@ -71,11 +71,12 @@ def projected(vectors: DataFrame, components: list[list[float]], center: DataFra
     return both.withColumns({f"pc{i + 1}": dot(moved, F.array(*[F.lit(x) for x in c])) for i, c in enumerate(components)}).drop("centroid")
 
 
-def neighbours(queries: DataFrame, fit: DataFrame, k: int, n_fit: int, key: str = "vec_id", vector: str = "v", exclude_self: bool = False) -> DataFrame:
+def neighbours(queries: DataFrame, fit: DataFrame, k: int, n_fit: int, key: str = "vec_id", vector: str = "v") -> DataFrame:
     """(key, neighbour, distance, rank): the k nearest rows of fit by cosine distance, ties by id.
 
-    Both sides are cut into blocks of BLOCK rows; each pair of blocks is one matrix product that keeps its k best, and a
-    window merges them. No side is broadcast. n_fit: rows of fit.
+    Exact search: its work is the product of both sides' rows. Both sides are cut into blocks, of fit BLOCK rows each; a
+    pair of blocks is one matrix product that keeps its k best, and a window merges them. No side is broadcast.
+    n_fit: rows of fit.
     """
     fit_blocks = max(1, -(-n_fit // BLOCK))
     q = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(max(8, fit_blocks))).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fit_blocks - 1).cast("long"))).alias("fb"))
@@ -88,13 +89,16 @@ def neighbours(queries: DataFrame, fit: DataFrame, k: int, n_fit: int, key: str
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
         d = 1.0 - a @ b.T
-        if exclude_self:
-            d[ids[:, None] == others[None, :]] = np.inf
+        r = np.round(d, 12)
         take = min(k, d.shape[1])
-        order = np.lexsort((np.broadcast_to(others, d.shape), np.round(d, 12)), axis=1)[:, :take]
-        near = np.take_along_axis(d, order, axis=1)
-        out = pd.DataFrame({"id": np.repeat(ids, take), "neighbour": others[order].reshape(-1), "distance": near.reshape(-1)})
-        return out[np.isfinite(out["distance"])]
+        # All within the k-th least distance, so that ties are there to be told apart by id.
+        row, col = np.nonzero((r <= np.partition(r, take - 1, axis=1)[:, take - 1 : take]) & np.isfinite(r))
+        order = np.lexsort((others[col], r[row, col], row))
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, np.arange(len(ids)))
+        keep = np.arange(len(row)) - first[row] < take
+        row, col = row[keep], col[keep]
+        return pd.DataFrame({"id": ids[row], "neighbour": others[col], "distance": d[row, col]})
 
     pairs = q.groupBy("qb", "fb").cogroup(f.groupBy("qb", "fb")).applyInPandas(best, "id long, neighbour long, distance double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 12), "neighbour")))
@@ -106,9 +110,14 @@ def knn_similarity(near: DataFrame, key: str = "vec_id") -> DataFrame:
 
 
 def outlier_factors(queries: DataFrame, fit: DataFrame, n_fit: int, k: int = L.KNN, key: str = "vec_id", vector: str = "v") -> DataFrame:
-    """(key, lof, lof_score): the factor, and standardised by the fit rows' mean and deviation. A fit row's own density leaves itself out; scoring does not."""
+    """(key, lof, lof_score): the factor, and standardised by the fit rows' mean and deviation. A fit row's own density leaves itself out; scoring does not.
+
+    The rows of fit are among the queries: one search for k + 1 neighbours serves both.
+    """
     k = min(k, n_fit)
-    own = neighbours(fit, fit, k, n_fit, key, vector, exclude_self=True)
+    searched = neighbours(queries, fit, k + 1, n_fit, key, vector)
+    others = searched.where(F.col(key) != F.col("neighbour")).join(fit.select(key), key, "left_semi")
+    own = others.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("rank"))).where(F.col("rank") <= k)
     reach_of = own.groupBy(key).agg(F.max("distance").alias("k_distance"))
 
     def density(near: DataFrame) -> DataFrame:
@@ -116,7 +125,7 @@ def outlier_factors(queries: DataFrame, fit: DataFrame, n_fit: int, k: int = L.K
         return reach.groupBy(key).agg((1.0 / (F.avg(F.greatest("kd", "distance")) + 1e-10)).alias("lrd"))
 
     fit_density = density(own)
-    near = neighbours(queries, fit, k, n_fit, key, vector)
+    near = searched.where(F.col("rank") <= k)
     around = near.join(fit_density.select(F.col(key).alias("neighbour"), F.col("lrd").alias("n_lrd")), "neighbour").groupBy(key).agg(F.avg("n_lrd").alias("around"))
     raw = around.join(density(near), key).select(key, (F.col("around") / F.col("lrd")).alias("lof"))
     stats = raw.join(fit.select(key), key, "left_semi").agg(F.avg("lof").alias("m"), F.stddev_pop("lof").alias("s"))

@@ -15,7 +15,7 @@ from ..operators import features as X
 from ..operators import geometry as G
 from ..operators import probe as P
 from ..operators import quality as V
-from ..operators.ranking import auroc, sliced
+from ..operators.ranking import auroc, average_rank, sliced, tiled, with_rows_before
 from ..sources import store
 from . import relations as D
 from . import routing as R
@@ -486,16 +486,17 @@ def corr_pearson(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def corr_spearman(spark: SparkSession, sf: str) -> DataFrame:
-    long = R.unpivoted(_role(spark, sf, "fit"), ["query_id"], ["H", "C_length", "C_query", "margin"])
-    w = Window.partitionBy("feature").orderBy("value")
-    ranks = long.withColumn("r", F.rank().over(w) + (F.count("*").over(Window.partitionBy("feature", "value")) - 1) / F.lit(2.0))
-    return rounded(ranks.groupBy("query_id").pivot("feature", ["H", "C_length", "C_query", "margin"]).agg(F.first("r")).agg(*[F.corr("H", c).alias(f"H_{c}") for c in ("C_length", "C_query", "margin")]))
+    names = ["H", "C_length", "C_query", "margin"]
+    long = R.unpivoted(_role(spark, sf, "fit"), ["query_id"], names).withColumnRenamed("value", "s")
+    ranks = with_rows_before(long.groupBy("feature", "s").agg(F.count("*").alias("c")), ["feature"]).select("feature", "s", average_rank().alias("r"))
+    per_row = long.join(ranks, ["feature", "s"]).groupBy("query_id").agg(*[F.max(F.when(F.col("feature") == n, F.col("r"))).alias(n) for n in names])
+    return rounded(per_row.agg(*[F.corr("H", c).alias(f"H_{c}") for c in names[1:]]))
 
 
 @query
 def entropy_tertile_error(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _role(spark, sf, "fit").withColumn("tertile", F.ntile(3).over(Window.partitionBy("source").orderBy("H", "query_id")))
-    return rounded(rows.groupBy("source", F.col("tertile").cast("long").alias("tertile")).agg(F.count("*").alias("n"), F.avg(F.col("weak_wrong").cast("double")).alias("error")))
+    rows = tiled(_role(spark, sf, "fit"), 3, "source", "H", "query_id")
+    return rounded(rows.groupBy("source", F.col("tile").alias("tertile")).agg(F.count("*").alias("n"), F.avg(F.col("weak_wrong").cast("double")).alias("error")))
 
 
 @query
