@@ -6,12 +6,15 @@ them for each label, in the order of a hash of the id). All their words are term
 labels (at least LEAST_RELEVANCE), the usual term weighting of TF-IDF for classes. Texts are unit vectors of these
 weights over all terms.
 
-Index. Examples are put in order by their heaviest term, so that like ones share a block of BLOCK examples, and stored as
-postings by block and term, with each term's largest weight in each block.
+Index. Examples are put in order by their language (as k-means tells it from the presence of the most frequent words),
+label and heaviest term, so that like ones share a block of BLOCK examples. Postings are stored by block and term, with each
+term's largest weight in each block. The DENSE most frequent terms have their postings in full, zeros included.
 
-Search. A block's bound is the sum over the text's terms of its weight times the block's maximum. Blocks are scored in
-descending order of bound, a few at a time, until the bound of the next one is under the k-th best cosine, so the
-neighbours are exact; ties go to the lower example number.
+Search. A block's bound is the sum over the text's terms of its weight times the block's maximum. For BATCH texts
+together, first the FIRST_BLOCKS blocks of the largest bounds are scored, then all blocks whose bounds reach the k-th
+best score so far. Block scores are single-precision sums, a matrix product for dense terms and a sum over lists for
+the others; examples within SLACK of the k-th best are scored again in double precision, so the neighbours are exact;
+ties go to the lower example number.
 
 Scores. Neighbours vote with their squared cosine and a weight that undoes the sample's balance; a logistic curve
 fitted on leave-one-out votes of the sample turns the vote into a probability. Texts that share no word with any example,
@@ -39,9 +42,13 @@ from .common import fold, ragged
 
 MAX_EXAMPLES = 4000
 NEIGHBOURS = 15
-BLOCK = 128
+BLOCK = 256
+BATCH = 64
+DENSE = 384
 LEAST_RELEVANCE = 0.01
 FIRST_BLOCKS = 2
+#: Far above the error of a single-precision sum of products of unit vectors.
+SLACK = 1e-4
 _WORD = re.compile(r"[^\W\d_]+")
 RESULT = "struct<score: double, evidence: array<struct<example: bigint, cosine: double, label: int>>>"
 
@@ -60,68 +67,135 @@ class BlockMaxIndex:
     example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     term: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     value: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: From the postings, made where they are first needed: where each term starts in each block, and block maxima.
-    tables: tuple[np.ndarray, np.ndarray] | None = None
+    #: Made from the postings where they are first needed.
+    tables: SearchTables | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"tables": None}
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending term numbers and unit weights of a text's words; words that are no terms are left out."""
+        """Term numbers and unit weights of a text's words; words that are no terms are left out."""
         known = self.vocabulary
-        found = sorted((i, n) for t, n in counts.items() if (i := known.get(t)) is not None)
-        if not found:
+        words = [t for t in counts if t in known]
+        if not words:
             return np.zeros(0, np.int64), np.zeros(0)
-        at, n = np.array(found, dtype=np.int64).T
-        w = (1 + np.log(n)) * self.weight[at]
+        at = np.array([known[t] for t in words], dtype=np.int64)
+        w = (1 + np.log(np.array([counts[t] for t in words], dtype=np.float64))) * self.weight[at]
         return at, w / np.sqrt(w @ w)
 
     def add_all(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.n = len(vectors)
-        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(at) for at, _ in vectors])
-        term = np.concatenate([at for at, _ in vectors]).astype(np.int32)
-        order = np.lexsort((example, term, example // BLOCK))
-        self.example, self.term, self.value = example[order], term[order], np.concatenate([w for _, w in vectors])[order]
+        self.example = np.repeat(np.arange(self.n, dtype=np.int32), [len(at) for at, _ in vectors])
+        self.term, self.value = np.concatenate([at for at, _ in vectors]).astype(np.int32), np.concatenate([w for _, w in vectors])
 
-    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Example numbers and cosines of the k nearest (cosine over 0), best first."""
+        return self.top_all([(at, w)], k)[0]
+
+    def top_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """top() of each vector; skip: an example for each that is left out."""
         if self.tables is None:
-            blocks, terms = -(-self.n // BLOCK), len(self.vocabulary)
-            key = (self.example // BLOCK).astype(np.int64) * terms + self.term
-            begin = np.searchsorted(key, np.arange(blocks * terms + 1)).astype(np.int32)
-            maxima = np.zeros(blocks * terms, np.float32)
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            # Rounded up: a bound may be too large, never too small.
-            maxima[key[first]] = np.nextafter(np.maximum.reduceat(self.value, first).astype(np.float32), np.float32(2))
-            self.tables = begin, np.ascontiguousarray(maxima.reshape(blocks, terms).T)
-        return self.tables
-
-    def top(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the k nearest (cosine over 0), best first; `skip` is left out."""
-        who, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        if not len(at):
-            return who, best
-        begin, maxima = self._tables()
-        terms = len(self.vocabulary)
-        bounds = w.astype(np.float32) @ maxima[at] * 1.0001 + 1e-6
-        order = np.argsort(-bounds, kind="stable")
-        done, size = 0, FIRST_BLOCKS
-        while done < len(order):
-            live = order[done : done + size]
-            live = live[bounds[live] >= (best[-1] if len(best) == k else 0)]
-            if not len(live):
-                break
-            done, size = done + size, 2 * size
-            rows = (live[:, None] * terms + at).reshape(-1)
-            lo = begin[rows]
-            number = begin[rows + 1] - lo
-            posts = ragged(lo, number)
-            scores = np.bincount(self.example[posts], weights=self.value[posts] * np.repeat(np.tile(w, len(live)), number), minlength=self.n)
-            hit = np.flatnonzero(scores > (best[-1] - 1e-9 if len(best) == k else 0))
-            hit = hit[hit != skip]
-            best, who = np.concatenate([best, np.round(scores[hit], 12)]), np.concatenate([who, hit])
-            cut = np.lexsort((who, -best))[:k]
-            best, who = best[cut], who[cut]
-        return who, best
+            self.tables = SearchTables(self)
+        out = []
+        for i in range(0, len(vectors), BATCH):
+            out += self.tables.top(vectors[i : i + BATCH], k, None if skip is None else skip[i : i + BATCH])
+        return out
+
+
+class SearchTables:
+    def __init__(self, index: BlockMaxIndex):
+        self.n, self.terms = index.n, len(index.vocabulary)
+        self.blocks = -(-self.n // BLOCK)
+        # By example, for exact scores.
+        self.row = np.searchsorted(index.example, np.arange(self.n + 1))
+        self.row_term, self.row_value = index.term, index.value
+        # By block and term.
+        order = np.lexsort((index.example, index.term, index.example // BLOCK))
+        example, term, value = index.example[order], index.term[order], index.value[order].astype(np.float32)
+        key = (example // BLOCK).astype(np.int64) * self.terms + term
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+        maxima = np.zeros(self.blocks * self.terms, np.float32)
+        maxima[key[first]] = np.maximum.reduceat(value, first) if len(key) else 0
+        self.maxima = np.ascontiguousarray(maxima.reshape(self.blocks, self.terms).T)
+        df = np.bincount(term, minlength=self.terms)
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        self.dense_of = np.full(self.terms, -1, dtype=np.int64)
+        self.dense_of[often] = np.arange(len(often))
+        full = self.dense_of[term] >= 0
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        self.dense[self.dense_of[term[full]], example[full]] = value[full]
+        self.example, self.value = example[~full], value[~full]
+        self.begin = np.searchsorted(key[~full], np.arange(self.blocks * self.terms + 1)).astype(np.int32)
+        self.query = np.zeros(self.terms)
+
+    def top(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        m = len(vectors)
+        bounds = np.stack([w.astype(np.float32) @ self.maxima[at] for at, w in vectors]) * np.float32(1.0001)
+        owner = np.repeat(np.arange(m), [len(at) for at, _ in vectors])
+        at, w = (np.concatenate([v[x] for v in vectors]) for x in (0, 1))
+        full = self.dense_of[at] >= 0
+        dense = np.zeros((m, len(self.dense)), np.float32)
+        dense[owner[full], self.dense_of[at[full]]] = w[full]
+        owner, at, w = owner[~full], at[~full], w[~full].astype(np.float32)
+        scores = np.full((m, self.n), -1, dtype=np.float32)
+
+        def visit(wanted: np.ndarray) -> np.ndarray:
+            """Scores the wanted blocks; the k-th best score of each text so far, 0 at least."""
+            place = np.empty(m, dtype=np.int64)
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows, lo, hi = np.flatnonzero(wanted[:, b]), b * BLOCK, min((b + 1) * BLOCK, self.n)
+                place.fill(-1)
+                place[rows] = np.arange(len(rows))
+                lists = np.flatnonzero(place[owner] >= 0)
+                begin = self.begin[b * self.terms + at[lists]]
+                number = self.begin[b * self.terms + at[lists] + 1] - begin
+                some = number > 0
+                lists, begin, number = lists[some], begin[some], number[some]
+                posts = ragged(begin, number)
+                cell = np.repeat(place[owner[lists]] * (hi - lo) - lo, number) + self.example[posts]
+                sums = np.bincount(cell, weights=self.value[posts] * np.repeat(w[lists], number), minlength=len(rows) * (hi - lo))
+                scores[rows, lo:hi] = dense[rows] @ self.dense[:, lo:hi] + sums.reshape(len(rows), hi - lo)
+            if skip is not None:
+                scores[np.arange(m), skip] = -1
+            return np.maximum(np.partition(scores, self.n - k, axis=1)[:, self.n - k], 0) if self.n > k else np.zeros(m, np.float32)
+
+        best = np.zeros((m, self.blocks), dtype=bool)
+        np.put_along_axis(best, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        best &= bounds > 0
+        least = visit(best)
+        least = visit((bounds > 0) & (bounds + SLACK >= least[:, None]) & ~best)
+        return [self._exact(v, np.flatnonzero(s > max(x - SLACK, 0)), k) for v, s, x in zip(vectors, scores, least.tolist(), strict=True)]
+
+    def _exact(self, vector: tuple[np.ndarray, np.ndarray], who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(who):
+            return who, np.zeros(0)
+        at, w = vector
+        self.query[at] = w
+        number = self.row[who + 1] - self.row[who]
+        posts = ragged(self.row[who], number)
+        cosines = np.round(np.add.reduceat(self.query[self.row_term[posts]] * self.row_value[posts], np.cumsum(number) - number), 12)
+        self.query[at] = 0
+        cut = np.lexsort((who, -cosines))[:k]
+        return who[cut], cosines[cut]
+
+
+def language_of(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, groups: int = 8, words: int = 64, rounds: int = 10) -> np.ndarray:
+    """A group for each vector, by k-means on the presence of the most frequent terms."""
+    at = np.concatenate([v[0] for v in vectors])
+    often = np.argsort(-np.bincount(at, minlength=terms), kind="stable")[:words]
+    place = np.full(terms, -1)
+    place[often] = np.arange(len(often))
+    x = np.zeros((len(vectors), len(often)))
+    of = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+    seen = place[at] >= 0
+    x[of[seen], place[at[seen]]] = 1
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    centers = x[np.linspace(0, len(x) - 1, groups).astype(int)]
+    for _ in range(rounds):
+        group = (x @ centers.T).argmax(axis=1)
+        centers = np.stack([x[group == g].mean(axis=0) if (group == g).any() else c for g, c in enumerate(centers)])
+        centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-9)
+    return group
 
 
 @dataclass
@@ -143,15 +217,15 @@ class ToxicityModel:
         a, b = self.curve
         return float(1 / (1 + np.exp(-np.clip(a * np.log(vote / (1 - vote)) + b, -30, 30))))
 
-    def nearest(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score, and numbers and cosines of the examples behind it."""
+    def nearest(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score of each text, and numbers and cosines of the examples behind it."""
         if self.constant is not None:
-            return self.constant, np.zeros(0, np.int64), np.zeros(0)
-        who, cosines = self.index.top(*self.index.vector(words_of(text)), NEIGHBOURS)
-        return (self.calibrated(self.vote(who, cosines)) if len(who) else self.base), who, cosines
+            return [(self.constant, np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        found = self.index.top_all([self.index.vector(words_of(t)) for t in texts], NEIGHBOURS)
+        return [(self.calibrated(self.vote(who, cosines)) if len(who) else self.base, who, cosines) for who, cosines in found]
 
     def score(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
-        score, who, cosines = self.nearest(text)
+        score, who, cosines = self.nearest([text])[0]
         return score, [(int(self.ids[i]), round(float(c), 6), int(self.labels[i])) for i, c in zip(who.tolist(), cosines, strict=True)]
 
 
@@ -176,12 +250,14 @@ def fit(ids: list[int], texts: list[str], labels: list[int], base_rate: float) -
     index = BlockMaxIndex({t: i for i, t in enumerate(words)}, (np.log((1 + len(y)) / (1 + df)) + 1) * np.maximum(np.sqrt(chi2), LEAST_RELEVANCE))
     vectors = [index.vector(bag) for bag in bags]
     heaviest = [int(at[w.argmax()]) if len(at) else -1 for at, w in vectors]
-    order = sorted(range(len(y)), key=lambda i: (heaviest[i], i))
-    index.add_all([vectors[i] for i in order])
+    language = language_of(vectors, len(words))
+    order = sorted(range(len(y)), key=lambda i: (language[i], labels[i], heaviest[i], i))
+    vectors = [vectors[i] for i in order]
+    index.add_all(vectors)
     y = y[order]
     model = ToxicityModel(index, y, np.array(ids, dtype=np.int64)[order], base=base_rate)
     model.weights = ((1 - base_rate) * len(y) / n0, base_rate * len(y) / n1)
-    found = [(i, *index.top(*vectors[k], NEIGHBOURS, skip=i)) for i, k in enumerate(order)]
+    found = [(i, *x) for i, x in enumerate(index.top_all(vectors, NEIGHBOURS, skip=np.arange(len(y))))]
     votes = np.array([model.vote(who, cosines) for _, who, cosines in found if len(who)])
     own = np.array([i for i, who, _ in found if len(who)], dtype=np.int64)
     model.curve = _logistic(np.log(votes / (1 - votes)), y[own].astype(float), np.array(model.weights)[y[own]])
@@ -223,8 +299,8 @@ def score_docs(docs: DataFrame, model: ToxicityModel, text: str = "text", out: s
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             coded = texts.dictionary_encode()  # copies in a batch are searched once
-            got = [model.nearest(t or "") for t in coded.dictionary.to_pylist()]
-            nothing = model.nearest("") if coded.null_count else None
+            got = model.nearest(coded.dictionary.to_pylist())
+            nothing = model.nearest([""])[0] if coded.null_count else None
             rows = [nothing if i is None else got[i] for i in coded.indices.to_pylist()]
             who = np.concatenate([np.zeros(0, np.int64), *(r[1] for r in rows)])
             evidence = pa.StructArray.from_arrays([pa.array(model.ids[who], pa.int64()), pa.array(np.round(np.concatenate([np.zeros(0), *(r[2] for r in rows)]), 6)), pa.array(model.labels[who], pa.int32())], ["example", "cosine", "label"])

@@ -260,7 +260,7 @@ def test_clashing_columns_and_null_ids(spark):
     d = d.withColumns({c: F.lit("old") for c in ("toxicity", "items", "component_id", "kept", "host", "rank", "lang", "source")})
     bench = spark.createDataFrame([(1, "word " * 12, 9)], "item_id long, text string, n_words int")
     marked = decontamination.decontaminate(d, bench)
-    assert len(marked.columns) == len(set(marked.columns)) and sorted(r["n_words"] for r in marked.select("n_words").collect()) == [0, 0, 12, 15]
+    assert len(marked.columns) == len(set(marked.columns)) and sorted(r["n_words"] for r in marked.select("n_words").collect()) == [0, 0, 12, 16]
     assert decontamination.without_contaminated(d, bench).count() == 2
     path = public_tokenizers.path("word_bpe_49k.json")
     frames = [jaccard_join.jaccard_classes(d), pii.find_pii(d), suffix_dedup.remove_repeats(d), token_binary.token_documents(d, path, 2), packing.pack_documents(d, path), media.media_documents(d), language_id.predict(d, language_id.fit_on(d))]
