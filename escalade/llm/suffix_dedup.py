@@ -10,8 +10,10 @@ lie that it can be the anchor of.
 
 1. Initial buckets: anchors by the hash of their q-gram, counted over all documents. A bucket of one anchor is done:
    none of its strings occurs twice.
-2. A bucket all of whose contexts are equal is done as well: all its strings occur at each of its anchors. Such
-   buckets, like those of any number of copies, are settled by counts alone.
+2. A bucket all of whose contexts are equal is done as well: refinement sorts on what lies at later offsets, and there
+   all its suffixes hold the same bytes as far as any of their strings reaches, so that every pass would leave the bucket
+   as it is and its strings occur at each of its anchors. Such buckets, like those of any number of copies, keep
+   their first bucket identifier as the last one.
 3. Buckets of several contexts are refined, from one row per distinct context (with its count). Large buckets are
    first split over the cluster by the bytes around the anchor (see repeats_of). The others go to a task each, whose q-gram
    buckets are refined by sorting positions on the pair (bucket at the position, bucket at a later offset), the
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, ragged, row_key, saved, text_chunks
+from .common import Scratch, mix64, partitions, ragged, row_key, saved, text_chunks
 
 LENGTH = 200
 #: Parts of a bucket that are refined inside a task; larger buckets are split first.
@@ -268,7 +270,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, PARTS)
 
 
-def repeats_of(parts: DataFrame, n: int, length: int) -> DataFrame:
+def repeats_of(parts: DataFrame, n: int, length: int, scratch: Scratch) -> DataFrame:
     """Per part (PARTS, no two rows of one bucket and part) the strings that occur more than once in its bucket (REPEATS).
 
     Buckets of at most TASK_PARTS parts are refined inside a task. Larger ones, of whatever size, are split over the
@@ -280,15 +282,15 @@ def repeats_of(parts: DataFrame, n: int, length: int) -> DataFrame:
     done: list[DataFrame] = []
     links: list[DataFrame] = []
     while True:
-        hot = saved(parts.groupBy("bucket").agg(F.count("*").alias("kinds")).where(F.col("kinds") > TASK_PARTS).select("bucket"), "hot-buckets")
+        hot = scratch.save(parts.groupBy("bucket").agg(F.count("*").alias("kinds")).where(F.col("kinds") > TASK_PARTS).select("bucket"), "hot-buckets")
         some = not hot.isEmpty()
         cool = parts.join(hot, "bucket", "left_anti") if some else parts
-        done.append(saved(cool.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(length), REPEATS), "repeats"))
+        done.append(scratch.save(cool.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(length), REPEATS), "repeats"))
         if not some:
             break
-        split = saved(parts.join(hot, "bucket").select("bucket", "part", "copies", "bytes", "anchor").mapInArrow(_split(length, len(done)), SPLIT), "split-parts")
+        split = scratch.save(parts.join(hot, "bucket").select("bucket", "part", "copies", "bytes", "anchor").mapInArrow(_split(length, len(done)), SPLIT), "split-parts")
         links.append(split.select("bucket", "part", F.col("at").alias("shift"), "old_bucket", "old_part"))
-        parts = saved(split.groupBy("bucket", "part").agg(F.sum("copies").alias("copies"), F.min("bytes").alias("bytes"), F.min("anchor").alias("anchor")), "parts")
+        parts = scratch.save(split.groupBy("bucket", "part").agg(F.sum("copies").alias("copies"), F.min("bytes").alias("bytes"), F.min("anchor").alias("anchor")), "parts")
     out = done.pop()
     while links:
         back = links.pop().join(out, ["bucket", "part"]).select(F.col("old_bucket").alias("bucket"), F.col("old_part").alias("part"), (F.col("shift") + F.col("at")).cast("int").alias("at"), "n", "bits")
@@ -298,22 +300,28 @@ def repeats_of(parts: DataFrame, n: int, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    n = partitions(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
-    each = saved(rows.mapInArrow(_rows(length), ROWS), "anchors")
+    with Scratch(docs.sparkSession) as scratch:
+        by_row = saved(_repeats_by_row(rows, length, scratch), "repeats-by-row")
+    return rows.join(by_row, ["key_id", "key_text"], "left").select("doc_id", "text", "found").mapInArrow(_strip(length), KEPT)
+
+
+def _repeats_by_row(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    n = partitions(rows.sparkSession)
+    each = scratch.save(rows.mapInArrow(_rows(length), ROWS), "anchors")
     # Written first: a join straight on the aggregate could not be split where one bucket holds many anchors.
-    buckets = saved(each.groupBy("gram").agg(F.count("*").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).where("all > 1").select("gram", "mixed"), "buckets")
-    live = saved(each.join(buckets, "gram"), "live-anchors")
+    buckets = scratch.save(each.groupBy("gram").agg(F.count("*").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).where("all > 1").select("gram", "mixed"), "buckets")
+    live = scratch.save(each.join(buckets, "gram"), "live-anchors")
+    scratch.drop(each, buckets)
     mixed = live.where("mixed").groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key_id", "key_text", "first", "n", "anchor")).alias("one")).select("gram", "context", "copies", "one.*")
-    asked = mixed.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("gram", "context", "copies", "first", (F.col("n") + F.lit(length - 1)).alias("size"), "anchor")).alias("asked"))
+    asked = scratch.save(mixed.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("gram", "context", "copies", "first", (F.col("n") + F.lit(length - 1)).alias("size"), "anchor")).alias("asked")), "asked")
     # Repeated rows are cut each; one is enough.
-    parts = saved(rows.join(saved(asked, "asked"), ["key_id", "key_text"]).select("text", "asked").mapInArrow(_cut, PARTS).dropDuplicates(["bucket", "part"]), "parts")
-    found = repeats_of(parts, n, length).select(F.col("bucket").alias("gram"), F.col("part").alias("context"), "at", F.col("n").alias("n_at"), "bits")
+    parts = scratch.save(rows.join(asked, ["key_id", "key_text"]).select("text", "asked").mapInArrow(_cut, PARTS).dropDuplicates(["bucket", "part"]), "parts")
+    found = repeats_of(parts, n, length, scratch).select(F.col("bucket").alias("gram"), F.col("part").alias("context"), "at", F.col("n").alias("n_at"), "bits")
     some = live.where("mixed").join(found, ["gram", "context"]).select("key_id", "key_text", (F.col("first") + F.col("at")).alias("first"), F.col("n_at").alias("n"), "bits")
     whole = live.where("not mixed").select("key_id", "key_text", "first", "n", F.lit(None).cast("binary").alias("bits"))
     # The same row again is a copy: it counts, but needs its places once.
-    by_row = saved(whole.unionByName(some).distinct().groupBy("key_id", "key_text").agg(F.collect_list(F.struct("first", "n", "bits")).alias("found")), "repeats-by-row")
-    return rows.join(by_row, ["key_id", "key_text"], "left").select("doc_id", "text", "found").mapInArrow(_strip(length), KEPT)
+    return whole.unionByName(some).distinct().groupBy("key_id", "key_text").agg(F.collect_list(F.struct("first", "n", "bits")).alias("found"))
 
 
 def digested(kept: DataFrame) -> DataFrame:
