@@ -20,6 +20,11 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+def spaced(c: Column) -> Column:
+    """What white space separates."""
+    return F.regexp_extract_all(c, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
+
+
 def words(c: Column) -> Column:
     """Lower-cased word tokens."""
     return F.transform(F.regexp_extract_all(c, F.lit(r"(?U)\b[\w']+\b"), F.lit(0)), F.lower)

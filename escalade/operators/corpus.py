@@ -68,7 +68,7 @@ def mmlu_rows(raw: DataFrame, role: str, split: str) -> DataFrame:
     return first_of(rows, ["query_id"], F.col("row_index"))
 
 
-BUILDERS: dict[str, Callable[..., DataFrame]] = {"arc": arc_rows, "hotpotqa": hotpot_rows, "mmlu": mmlu_rows}
+BUILDERS: dict[str, Callable[..., DataFrame]] = {"arc_challenge": arc_rows, "hotpotqa": hotpot_rows, "mmlu": mmlu_rows}
 
 
 def builders(enabled: dict[str, bool]) -> dict[str, Callable[..., DataFrame]]:
@@ -121,13 +121,56 @@ def head_per_role(rows: DataFrame, n: int, ordinal: str, role: str = "role") ->
 
 
 def smoke(config: dict, cap: int = 8) -> dict:
-    """A config with every size capped and the output set apart."""
-    small = lambda v: {k: small(x) for k, x in v.items()} if isinstance(v, dict) else min(v, cap) if isinstance(v, int) and not isinstance(v, bool) else v
-    out = dict(config)
-    out["sizes"] = small(config.get("sizes", {}))
-    if config.get("subjects"):
-        out["subjects"] = config["subjects"][:2]
-    out["name"] = f"{config.get('name', 'corpus')}_smoke"
+    """A config with every number of examples capped, two subjects at most, and a version and folder of its own."""
+
+    def small(spec: dict) -> dict:
+        roles = {r: v | {k: min(v.get(k) or cap, cap) for k in ("max_examples", "per_subject") if k in v} for r, v in spec.get("roles", {}).items()}
+        return spec | {"roles": roles} | ({"subjects": spec["subjects"][:2]} if spec.get("subjects") else {})
+
+    version = f"{config.get('version', 'corpus')}_smoke"
+    return config | {"datasets": {n: small(spec) for n, spec in config.get("datasets", {}).items()}, "version": version, "output_dir": f"{config.get('output_dir', 'corpus')}_smoke"}
+
+
+def _drawn(raw: DataFrame, spec: dict, seed: int) -> DataFrame:
+    """The rows of one role: all, or a sample; by subject where the spec says so."""
+    key = "id" if "id" in raw.columns else "row_index"
+    if spec.get("per_subject"):
+        turn = F.row_number().over(Window.partitionBy("subject").orderBy(random_key(seed, F.col("subject"), F.col(key)), key))
+        return raw.withColumn("__turn", turn).where(F.col("__turn") <= spec["per_subject"]).drop("__turn")
+    if not spec.get("max_examples"):
+        return raw
+    if "type" in raw.columns and "level" in raw.columns:
+        strata = raw.withColumn("__stratum", F.concat_ws("|", "type", "level"))
+        return stratified_sample(strata, spec["max_examples"], seed, key, "__stratum").drop("__stratum", "turn")
+    return sample(raw, spec["max_examples"], seed, key)
+
+
+def built(config: dict, staged: Callable[[str, str], DataFrame]) -> DataFrame:
+    """The corpus of a config: rows of all enabled datasets and roles, in one table.
+
+    staged(dataset, split) gives the raw rows of a split. Roles that share a split get disjoint slices of one shuffle.
+    """
+    specs, seed, out = config["datasets"], int(config.get("seed", 42)), None
+    for name, build in builders({n: spec.get("enabled", True) for n, spec in specs.items()}).items():
+        if name not in specs:
+            continue
+        spec = specs[name]
+        extra = {"policy": spec["context_policy"]} if "context_policy" in spec else {}
+        by_split: dict[str, list[str]] = {}
+        for role, r in spec["roles"].items():
+            by_split.setdefault(r["split"], []).append(role)
+        for split, roles in by_split.items():
+            raw = staged(name, split)
+            if spec.get("subjects"):
+                raw = raw.where(F.col("subject").isin(*spec["subjects"]))
+            if len(roles) > 1:
+                cut = disjoint_splits(raw, {r: spec["roles"][r]["max_examples"] for r in roles}, seed, "id")
+            for role in roles:
+                own = _drawn(raw, spec["roles"][role], seed) if len(roles) == 1 else cut.where(F.col("role") == role).drop("role")
+                rows = build(own, role, split, **extra)
+                out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no dataset is enabled")
     return out
 
 

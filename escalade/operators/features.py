@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.scores import finite
 
 STRUCTURAL = ("prompt_token_len", "question_token_len", "mean_option_token_len", "std_option_token_len", "question_option_ratio", "mattr", "compression_ratio")
+GEOMETRY = ("centroid_distance", "lof_score")
 LINGUISTIC = ("n_requirements", "reasoning_depth_score", "multihop_score", "domain_breadth", "n_question_marks", "n_sentences")
 
 

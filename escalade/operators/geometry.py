@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,13 +79,13 @@ def neighbours(queries: DataFrame, fit: DataFrame, k: int, n_fit: int, key: str
     pair of blocks is one matrix product that keeps its k best, and a window merges them. No side is broadcast.
     n_fit: rows of fit.
     """
-    fit_blocks = max(1, -(-n_fit // BLOCK))
+    fit_blocks, kind = max(1, -(-n_fit // BLOCK)), queries.schema[key].dataType.simpleString()
     q = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(max(8, fit_blocks))).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fit_blocks - 1).cast("long"))).alias("fb"))
     f = fit.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(fit_blocks)).alias("fb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(8, fit_blocks) - 1).cast("long"))).alias("qb"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+            return pd.DataFrame({"id": left["id"].iloc[:0], "neighbour": right["id"].iloc[:0], "distance": pd.Series(dtype="float64")})
         a, b = (np.stack(x["v"].to_numpy()).astype(float) for x in (left, right))
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
@@ -100,7 +101,7 @@ def neighbours(queries: DataFrame, fit: DataFrame, k: int, n_fit: int, key: str
         row, col = row[keep], col[keep]
         return pd.DataFrame({"id": ids[row], "neighbour": others[col], "distance": d[row, col]})
 
-    pairs = q.groupBy("qb", "fb").cogroup(f.groupBy("qb", "fb")).applyInPandas(best, "id long, neighbour long, distance double")
+    pairs = q.groupBy("qb", "fb").cogroup(f.groupBy("qb", "fb")).applyInPandas(best, f"id {kind}, neighbour {kind}, distance double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 12), "neighbour")))
     return ranked.where(F.col("rank") <= k).withColumnRenamed("id", key)
 
@@ -132,9 +133,49 @@ def outlier_factors(queries: DataFrame, fit: DataFrame, n_fit: int, k: int = L.K
     return raw.crossJoin(F.broadcast(stats)).select(key, "lof", ((F.col("lof") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(F.lit(1.0))).alias("lof_score"))
 
 
+def fit_violations(used: DataFrame, rows: DataFrame, key: str = "query_id", role: str = "role") -> DataFrame:
+    """(check, n): evaluation rows among those a transform was fitted on, and rows from outside the fit split; none is empty."""
+    counts = lambda df, name: df.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(name).alias("check"), "n")
+    return counts(used.join(rows.where(F.col(role) == "eval"), key, "left_semi"), "evaluation_rows").unionByName(counts(used.join(rows.where(F.col(role) == "fit"), key, "left_anti"), "outside_fit"))
+
+
 def assert_fit_only(used: DataFrame, rows: DataFrame, key: str = "query_id", role: str = "role") -> None:
     """No evaluation row among the rows a transform was fitted on, and none from outside the fit split."""
-    if not used.join(rows.where(F.col(role) == "eval"), key, "left_semi").isEmpty():
+    broken = {r["check"]: r["n"] for r in fit_violations(used, rows, key, role).collect()}
+    if "evaluation_rows" in broken:
         raise ValueError("evaluation rows in a fitted transform")
-    if not used.join(rows.where(F.col(role) == "fit"), key, "left_anti").isEmpty():
+    if broken:
         raise ValueError("rows outside the fit split in a fitted transform")
+
+
+class HashingEncoder:
+    """The stand-in for a sentence encoder: signed counts of hashed words as unit vectors. Any object with encode(list of texts) -> matrix takes its place."""
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
+        for row, t in zip(out, texts, strict=True):
+            for w in t.lower().split():
+                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+                row[h % self.dim] += 1 if h >> 31 else -1
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def encode_texts(rows: DataFrame, encoder: object, key: str = "query_id", text: str = "prompt", vector: str = "v") -> DataFrame:
+    """(key, vector) of every row, by Arrow batches of the encoder."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], vector: list(np.asarray(encoder.encode(b[text].fillna("").tolist()), dtype=float))})
+
+    return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, `{vector}` array<double>")
+
+
+def atypicality(vectors: DataFrame, fit: DataFrame, key: str = "query_id", vector: str = "v", k: int = L.KNN) -> DataFrame:
+    """(key, embedding_geometry): distance from the fit centroid and standardised outlier factor of every row; fit is part of vectors."""
+    far = centroid_distance(vectors, centroid(fit, vector), vector).select(key, "centroid_distance")
+    odd = outlier_factors(vectors, fit, fit.count(), k, key, vector).select(key, "lof_score")
+    return far.join(odd, key, "left").select(key, F.struct("centroid_distance", "lof_score").alias("embedding_geometry"))

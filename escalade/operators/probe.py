@@ -42,6 +42,10 @@ def with_backend(rows: DataFrame, make: Callable[[], Backend], n_samples: int) -
     return rows.select("query_id", "prompt", "labels").mapInPandas(run, "query_id string, probs array<struct<letter:string,p:double>>, samples array<string>").withColumn("probs", F.map_from_entries("probs"))
 
 
+#: Fixed value: tokens of an answer of the stand-in model.
+ANSWER_TOKENS = 8
+
+
 def model_pool(pool: dict[str, dict[str, str]], experiment: str, roles: list[str] | None = None) -> list[tuple[str, str]]:
     """(role, model id) of an experiment, weak before strong."""
     if experiment not in pool:
@@ -100,20 +104,31 @@ def usd(costs: DataFrame, prices: DataFrame) -> DataFrame:
     return both.withColumn("usd_est", F.round((F.col("prompt_tokens") * price["usd_in"] + F.col("completion_tokens") * price["usd_out"]) / 1e6, 8)).drop("price_model_id", "price_model_role")
 
 
-def stand_in_records(corpus: DataFrame, model_id: str, model_role: str, k: int = 3, n_samples: int = 3) -> DataFrame:
-    """Probe records of the deterministic stand-in model: answer scores and agreement over surfaces."""
+def stand_in_records(corpus: DataFrame, model_id: str, model_role: str, k: int = 3, n_samples: int = 3, prices: DataFrame | None = None) -> DataFrame:
+    """Probe records of the deterministic stand-in model, one a query: answer scores on the first surface, agreement over k surfaces, cost of all its calls.
+
+    k of at most 1 probes the prompt alone; U, agreement and mode are null then. Tokens are white-space separated
+    words; prices(name, usd_in, usd_out) adds usd_est.
+    """
     rows = corpus.withColumns({"labels": T.option_labels(F.col("prompt")), "model": F.lit(model_id)})
     letters = F.array(*[F.lit(x) for x in "ABCDE"])
     all_probs = S.stand_in_letters(F.col("query_id"), F.col("model"), list("ABCDE"))
     probs = F.map_filter(all_probs, lambda a, _: F.array_contains(F.slice(letters, 1, F.size("labels")), a))
-    mc = rows.where("size(labels) > 0").withColumn("answer_scores", S.distribution_scores(probs)).withColumn("probe", F.lit("mc_letter"))
-    free = rows.where("size(labels) = 0").withColumn("samples", S.stand_in_samples(F.col("query_id"), F.col("model"), n_samples, 0))
+    is_mc = F.size("labels") > 0
+    mc = rows.where(is_mc).withColumn("answer_scores", S.distribution_scores(probs)).withColumn("probe", F.lit("mc_letter"))
+    free = rows.where(~is_mc).withColumn("samples", S.stand_in_samples(F.col("query_id"), F.col("model"), n_samples, 0))
     clustered = answer_clusters(free.select("query_id", F.posexplode("samples").alias("pos", "answer")), ["query_id"])
     own = ["query_id", F.lit(model_id).alias("model_id"), F.lit(model_role).alias("model_role"), "source", "role"]
     a = mc.select(*own, "probe", *[F.col(f"answer_scores.{c}").alias(c) for c in ("H", "p_max", "pred", "margin", "top2_mass")])
     b = free.join(clustered, "query_id").select(*own, F.lit("freeform_clusters").alias("probe"), "H", "p_max", "pred", "margin", "top2_mass")
-    return a.unionByName(b)
-
-
-def latest(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ordinal)))).where("__rn = 1").drop("__rn")
+    several = k > 1
+    surfaces = surface_prompts(rows, k) if several else rows.withColumns({"surface_no": F.lit(0), "surface_prompt": F.col("prompt")})
+    asked = surfaces.select("query_id", "surface_no", F.greatest(F.size(T.spaced(F.col("surface_prompt"))), F.lit(1)).cast("long").alias("prompt_tokens"), is_mc.alias("is_mc"), F.when(is_mc, S.distribution_scores(probs)["pred"]).otherwise(S.stand_in_samples(F.col("query_id"), F.col("model"), 1, 0)[0]).alias("answer"))
+    call = lambda rows, pos, n: rows.select("query_id", F.lit(None).cast("double").alias("latency_ms"), "prompt_tokens", F.when(F.col("is_mc"), 0).otherwise(ANSWER_TOKENS * n).cast("long").alias("completion_tokens"), F.lit(1).alias("n_calls"), F.when(F.col("is_mc"), "mc_letter").otherwise("freeform_sample").alias("kind"), pos.alias("pos"))
+    calls = call(asked.where("surface_no = 0"), F.lit(0), n_samples).unionByName(call(asked, F.col("surface_no") + 1, 1))
+    cost = cost_trace(calls, ["query_id"]).drop("kinds")
+    agreement = paraphrase_agreement(asked, ["query_id"], "answer", "surface_no")
+    if not several:
+        agreement = agreement.select("query_id", *[F.lit(None).cast(agreement.schema[c].dataType).alias(c) for c in ("U", "agreement")], "k", F.lit(None).cast("string").alias("mode"))
+    out = a.unionByName(b).join(agreement, "query_id").join(cost, "query_id")
+    return out if prices is None else usd(out, prices)

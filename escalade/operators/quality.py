@@ -41,6 +41,11 @@ def issues(signals: DataFrame, corpus: DataFrame, model_role: str, backend: str
     return out
 
 
+def model_roles(signals: DataFrame) -> DataFrame:
+    """(model_role, n): the model roles in a table of probes."""
+    return signals.groupBy("model_role").agg(F.count("*").alias("n"))
+
+
 def signal_auroc(rows: DataFrame) -> DataFrame:
     """(slice, family, signal, direction, n, n_wrong, auroc, representative): each signal against a wrong weak answer; slices of one class or under two rows are left out."""
     names = [s for _, s, _ in SIGNALS] + (["U"] if "U" in rows.columns else [])

@@ -189,6 +189,16 @@ def zscore_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(X.zstats(X.flattened(_phi(spark, sf).where("role = 'fit'"), "doc_id", BLOCKS)))
 
 
+@query
+def complexity_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """The composition with geometry: prompt features stand in the vectors' own entries, distances are real."""
+    v = D.vectors(spark, sf)
+    rows = G.atypicality(v, _fit(v), "vec_id").join(v.select("vec_id", F.struct(F.get("v", F.lit(12)).alias("prompt_token_len"), F.get("v", F.lit(13)).alias("mattr")).alias("structural"), F.struct(F.get("v", F.lit(15)).alias("n_requirements")).alias("linguistic_cues")), "vec_id")
+    flat = X.flattened(rows, "vec_id", {"structural": ("prompt_token_len", "mattr"), "linguistic_cues": ("n_requirements",), "embedding_geometry": X.GEOMETRY})
+    stats = X.zstats(flat.join(_fit(v).select("vec_id"), "vec_id", "left_semi"))
+    return rounded(X.composed(X.zscored(flat, stats, "vec_id"), "vec_id"))
+
+
 @query
 def complexity_scores(spark: SparkSession, sf: str) -> DataFrame:
     flat = X.flattened(_phi(spark, sf), "doc_id", BLOCKS)
@@ -446,6 +456,21 @@ def eval_frozen(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.evaluated(_scored(spark, sf, "eval"), _taus(spark, sf)))
 
 
+@query
+def eval_by_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return eval_frozen(spark, sf).where("slice <> 'pooled'").select("set", "slice", "n", "alpha", "accuracy", "pgr")
+
+
+@query
+def path_latency(spark: SparkSession, sf: str) -> DataFrame:
+    return eval_frozen(spark, sf).where("slice = 'pooled'").select("set", "mean_path_latency_ms")
+
+
+@query
+def random_escalation(spark: SparkSession, sf: str) -> DataFrame:
+    return _role(spark, sf, "eval").select("query_id", R.random_escalation(0.3, 42, "query_id").alias("escalated"))
+
+
 @query
 def escalate(spark: SparkSession, sf: str) -> DataFrame:
     rows = _scored(spark, sf, "eval").join(F.broadcast(_taus(spark, sf).select("set", "tau")), "set")
@@ -530,11 +555,46 @@ def join_check(spark: SparkSession, sf: str) -> DataFrame:
     return V.join_check(D.joined(spark, sf))
 
 
+@query
+def fit_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """A transform that was fitted on one source of all roles."""
+    rows = D.probe_base(spark, sf).select("query_id", "role", "source")
+    return G.fit_violations(rows.where("source = 'src1'"), rows)
+
+
+@query
+def incomplete_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return R.incomplete(D.joined(spark, sf))
+
+
+@query
+def model_roles(spark: SparkSession, sf: str) -> DataFrame:
+    return V.model_roles(D.probes(spark, sf, "weak").unionByName(D.probes(spark, sf, "strong")))
+
+
+@query
+def latest_backup_prune(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions (orders) of a table (customer) that pruning deletes: all but the newest ones."""
+    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    rows = D.table(spark, sf, "orders").withColumn("age", F.row_number().over(newest))
+    return rows.where(F.col("age") > L.BACKUPS_KEPT).select("o_custkey", "o_orderkey", F.col("age").cast("long").alias("age"))
+
+
+@query
+def joined_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """The join where each weak probe has an older record with another answer."""
+    base = D.probe_base(spark, sf)
+    weak = D.probes(spark, sf, "weak")
+    both = weak.withColumn("pred", F.lit("Z")).withColumn("ordinal", F.lit(0)).unionByName(weak.withColumn("ordinal", F.lit(1)))
+    phi = base.select("query_id", "C_length", "C_density", "C_atypical", "C_linguistic", "C_query")
+    rows = R.joined_rows(base.select("query_id", "source", "role", "task_type", "metric", "gold", "is_mc"), phi, both, D.probes(spark, sf, "strong"))
+    return rows.select("query_id", "weak_pred", "strong_pred", "weak_ok", "needs_strong")
+
+
 @query
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
     old = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderstatus").alias("state"))
-    # The batch: orders with a late line; others stay as they were.
-    new = D.table(spark, sf, "lineitem").where("l_shipdate >= date '1997-01-01'").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.max("l_linestatus").alias("state"))
+    new = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.max("l_linestatus").alias("state"))
     return store.upserted(old, new)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions.scores import finite, gap_recovered
+from ..operators.corpus import last_of, random_key
 from ..operators.ranking import accuracy, auroc, sliced
 
 FEATURES = [*L.PHI, *L.PSI]
@@ -18,8 +19,9 @@ def frozen(artifact: DataFrame) -> DataFrame:
     return artifact.sparkSession.createDataFrame([tuple(r) for r in artifact.collect()], artifact.schema)
 
 
-def joined_rows(corpus: DataFrame, phi: DataFrame, weak: DataFrame, strong: DataFrame) -> DataFrame:
-    """Corpus with features and weak probes (inner) and strong probes (left), correctness and routing labels. Duplicate ids are resolved before (latest wins)."""
+def joined_rows(corpus: DataFrame, phi: DataFrame, weak: DataFrame, strong: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """Corpus with features and weak probes (inner) and strong probes (left), correctness and routing labels. Of rows of one id in a table that has the column `ordinal`, the last one counts."""
+    phi, weak, strong = (last_of(t, ["query_id"], F.col(ordinal)).drop(ordinal) if ordinal in t.columns else t for t in (phi, weak, strong))
     w = weak.select("query_id", F.col("pred").alias("weak_pred"), *L.PSI, F.col("latency_ms").alias("latency_weak"))
     s = strong.select("query_id", F.col("pred").alias("strong_pred"), F.col("latency_ms").alias("latency_strong"), F.lit(True).alias("__s"))
     rows = corpus.join(phi, "query_id").join(w, "query_id").join(s, "query_id", "left")
@@ -171,8 +173,13 @@ def curve_points(curve: DataFrame) -> DataFrame:
     return curve.where("tau_tag = 'threshold'").select("set", "idx", "alpha", "accuracy", "pgr")
 
 
+def incomplete(rows: DataFrame) -> DataFrame:
+    """(source, n): rows without a strong probe; none is empty."""
+    return rows.where(~F.col("has_strong")).groupBy("source").agg(F.count("*").alias("n"))
+
+
 def assert_complete(rows: DataFrame) -> None:
-    if not rows.where(~F.col("has_strong")).isEmpty():
+    if not incomplete(rows).isEmpty():
         raise ValueError("rows without a strong probe")
 
 
@@ -190,4 +197,4 @@ def weighted_rule(z: dict[str, float], tau: float) -> Column:
 
 def random_escalation(alpha: float, seed: int, key: str) -> Column:
     """Escalates a share alpha of the rows by a hash of the key."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(alpha * 1_000_000)
+    return F.conv(F.substring(random_key(seed, F.col(key)), 1, 8), 16, 10).cast("double") < alpha * 2.0**32

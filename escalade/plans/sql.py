@@ -188,6 +188,24 @@ def all6(cols: list[str]) -> str:
     return ", ".join(r6(c, c) for c in cols)
 
 
+_COSINE = "{dot} / (sqrt({vv}) * sqrt({cc}))".format(dot=DOT.format(a="v", b="c"), vv=DOT.format(a="v", b="v"), cc=DOT.format(a="c", b="c"))
+GEOMETRY = LOF + ", " + CENTER.removeprefix(V + ", ") + f""", g as (select vec_id, v[13] as t, v[14] as m, v[16] as n, 1 - {_COSINE} as cd, (lof - st.m) / st.s as ls from vecs join lof using (vec_id), cent, st),
+gz as (select {", ".join(f"avg({x}) as m_{x}, stddev_pop({x}) as s_{x}" for x in ("t", "m", "n", "cd", "ls"))} from g where vec_id % 5 < 3),
+gc as (select vec_id, (t - m_t) / s_t as C_length, (m - m_m) / s_m as C_density, 0.5 * (cd - m_cd) / s_cd + 0.5 * (ls - m_ls) / s_ls as C_atypical, (n - m_n) / s_n as C_linguistic from g, gz)"""
+PROBE_RECORDS = f""", x as (select 'n' || n_nationkey as query_id, n_nationkey % 2 = 0 as mc, case when n_nationkey % 2 = 0 then stem else 'Where is it?' end as stem, case when n_nationkey % 2 = 0 then substr(prompt, length(stem) + 1) else chr(10) || chr(10) || 'Answer briefly.' end as rest from mcp),
+y as (select *, ('0x' || substr(sha256(query_id || '|weak-8b|mc'), 1, 8))::bigint as s1, ('0x' || substr(sha256(query_id || '|weak-8b|hotpot|0'), 1, 8))::bigint as s2 from x),
+e as (select query_id, i, exp((((s1 >> (5 * i)) % 97) + 1 + case when i = 0 then s1 % 11 else 0 end) / 10.0::double) as w from y, range(0, 5) t(i) where mc),
+c as (select query_id, w / sum(w) over (partition by query_id) as p, ['A', 'B', 'C', 'D', 'E'][i + 1] as a, -i as pos from e
+  union all select query_id, count(*) / 3.0::double, a, -min(i) from (select query_id, i, {q(L.SAMPLE_POOL)}[(s2 + 3 * i) % 5 + 1] as a from y, range(0, 3) t(i) where not mc) group by query_id, a),
+r as (select c.*, row_number() over (partition by query_id order by round(p, 12) desc, case when mc then a else '' end desc, pos desc) as rk from c join x using (query_id)),
+d as (select query_id, -sum(p * ln(p)) as H, max(p) filter (rk = 1) as p_max, max(a) filter (rk = 1) as pred, max(p) filter (rk = 1) - max(p) filter (rk = 2) as margin, max(p) filter (rk = 1) + max(p) filter (rk = 2) as top2_mass from r group by query_id),
+w as (select query_id, mc, i, len(regexp_extract_all(case when mc then '' else 'Question: ' end || case when i = 0 then '' else {q(L.PARAPHRASE_PREFIXES)}[(('0x' || substr(sha256(query_id), i + 1, 2))::int + i) % 3 + 1] || ' ' end || stem || rest, '[^{WS}]+')) as n from x, range(0, 3) t(i)),
+k as (select query_id, sum(n) + max(n) filter (i = 0) as prompt_tokens, max(case when mc then 0 else 48 end) as completion_tokens from w group by query_id)
+select query_id, 'weak-8b' as model_id, 'weak' as model_role, 'nation' as source, 'fit' as role, case when mc then 'mc_letter' else 'freeform_clusters' end as probe, {all6(['H', 'p_max'])}, pred, {all6(['margin', 'top2_mass'])},
+  0.0::double as U, 1.0::double as agreement, 3::bigint as k, pred as mode, 0.0::double as latency_ms, prompt_tokens::bigint as prompt_tokens, completion_tokens::bigint as completion_tokens, (prompt_tokens + completion_tokens)::bigint as total_tokens, 4::bigint as n_calls
+from x join d using (query_id) join k using (query_id)"""
+
+
 SQL: dict[str, str] = {
     "auroc_quality": with_(f"x as (select * from documents join labels using (doc_id)), a as ({auroc('x', '', 'quality = 0', 'round(n_chars / 100)')})", f"select n, n_pos, {r6('auroc', 'auroc')} from a"),
     "corpus_rows": with_(CORPUS, "select query_id, source, config, role, gold, text_hash, length(prompt) as n from corpus"),
@@ -281,7 +299,17 @@ SQL: dict[str, str] = {
         union all select 'missing_ids', '', count(*) from base where query_id not in (select query_id from r) having count(*) > 0
         union all select 'mock_backend', 'mock', 1 union all select 'manifest_count', '7', count(*) from r"""),
     "join_check": with_(JOINED, "select count(*) as joined, count(*) filter (has_strong) as with_strong from joined"),
-    "upsert": "with n as (select l_orderkey as query_id, max(l_linestatus) as state from lineitem where l_shipdate >= date '1997-01-01' group by 1) select o_orderkey as query_id, o_orderstatus as state from orders where o_orderkey not in (select query_id from n) union all select * from n",
+    "fit_violations": with_(BASE, "select 'evaluation_rows' as \"check\", count(*) as n from base where source = 'src1' and role = 'eval' having count(*) > 0 union all select 'outside_fit', count(*) from base where source = 'src1' and role <> 'fit' having count(*) > 0"),
+    "incomplete_rows": with_(JOINED, "select source, count(*) as n from joined where not has_strong group by source"),
+    "model_roles": with_(PROBES, "select 'weak' as model_role, count(*) as n from weak union all select 'strong', count(*) from strong"),
+    "latest_backup_prune": f"select * from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as age from orders) where age > {L.BACKUPS_KEPT}",
+    "joined_last_wins": with_(JOINED, "select query_id, weak_pred, strong_pred, weak_ok, needs_strong from joined"),
+    "eval_by_slice": with_(EVAL, f"select set, slice, n, {all6(['alpha', 'accuracy'])}, {r6(PGR, 'pgr')} from ev where slice <> 'pooled'"),
+    "path_latency": with_(EVAL, f"select set, {r6('mean_path_latency_ms', 'mean_path_latency_ms')} from ev where slice = 'pooled'"),
+    "random_escalation": with_(JOINED, "select query_id, ('0x' || substr(md5('42|' || query_id), 1, 8))::bigint < 0.3 * 4294967296 as escalated from joined where role = 'eval'"),
+    "complexity_geometry": with_(GEOMETRY, f"select vec_id, {all6(['C_length', 'C_density', 'C_atypical', 'C_linguistic'])}, {r6('(C_length + C_density + C_atypical + C_linguistic) / 4', 'C_query')} from gc"),
+    "probe_records": with_(MC, PROBE_RECORDS),
+    "upsert": "with n as (select l_orderkey as query_id, max(l_linestatus) as state from lineitem group by 1) select o_orderkey as query_id, o_orderstatus as state from orders where o_orderkey not in (select query_id from n) union all select * from n",
     "resume_todo": "select o_orderkey as query_id from orders where o_orderkey not in (select l_orderkey from lineitem where l_linestatus = 'F')",
     "last_duplicate_wins": "select o_custkey, max(o_orderkey) as o_orderkey, arg_max(o_orderpriority, o_orderkey) as o_orderpriority from orders group by o_custkey",
 }

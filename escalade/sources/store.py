@@ -33,6 +33,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, missing
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of files with a column that sorts them by file, then by place in the file: the rows of a file's block are numbered in order by the task that reads it."""
+    return rows.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
+def load_config(spark: SparkSession, path: str) -> dict:
+    """A YAML file, or a JSON one by its name."""
+    text = _read_text(spark, path)
+    if path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError(f"{path}: no YAML reader is installed; give the configuration as .json") from e
+    return yaml.safe_load(text)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One object a line, keys in order, NaN and infinities as null."""
     safe = [json_safe(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in sorted(df.dtypes)]
@@ -62,7 +79,8 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r["value"] for r in spark.read.text(path).collect())
+    """A small file as a whole."""
+    return spark.read.option("wholetext", True).text(path).first()["value"]
 
 
 def signals_path(spark: SparkSession, base: str, role: str, model_role: str) -> str:
@@ -73,15 +91,15 @@ def signals_path(spark: SparkSession, base: str, role: str, model_role: str) ->
 
 def load_corpus(spark: SparkSession, base: str, schema: StructType | str, roles: tuple[str, ...] = ("fit", "calib", "eval"), limit: int | None = None) -> DataFrame:
     """The role partitions of a corpus, each cut to its first rows by ordinal where a limit is given."""
-    parts = [read_jsonl(spark, f"{base}/queries_{r}.jsonl", schema) for r in roles]
+    parts = [in_file_order(read_jsonl(spark, f"{base}/queries_{r}.jsonl", schema), "__pos") for r in roles]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     if limit is None:
-        return out
+        return out.drop("__pos")
     from ..operators.corpus import head_per_role
 
-    return head_per_role(out.withColumn("__pos", F.monotonically_increasing_id()), limit, "__pos").drop("__pos")
+    return head_per_role(out, limit, "__pos").drop("__pos")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "query_id") -> DataFrame:
