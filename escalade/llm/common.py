@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import re
 import tempfile
@@ -18,11 +20,24 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: What a Python worker gets at a time.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; always through Spark's reader, so any store that Spark reads will do."""
+    """One input table; always through Spark's reader, so any store that Spark reads will do. Sets the session's Arrow batches to BATCH_BYTES, which bounds the memory of Python workers."""
+    spark.conf.set(_BATCH, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns unused memory of this worker to the system: workers outlive their tasks and stand beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: spark.checkpoint.dir. Where it is unset, a temporary one, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,7 +54,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 #: While a table is written: the shuffle files behind it go as soon as it is there, and Python workers get small batches.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", _BATCH: BATCH_BYTES}
 
 
 def _written(df: DataFrame, path: str, codec: str) -> DataFrame:

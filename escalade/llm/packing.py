@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, encoder, partitions, saved, text_chunks
+from .common import crc32_of, encoder, give_back, partitions, saved, text_chunks
 
 CAPACITY = 2048
 TEXT_BYTES = 8_000_000
@@ -49,6 +49,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
                 begin = (np.cumsum(counts) - counts)[of] + start
                 crcs = [crc32_of(flat[x:y]) for x, y in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, encoder, partitions, ragged, saved, text_chunks
+from .common import crc32_of, encoder, give_back, partitions, ragged, saved, text_chunks
 
 MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 20
@@ -201,6 +201,7 @@ def shards_of(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_i
                         ids, owners, size, ordinal = [], [], 0, ordinal + 1
         if ids:
             yield flush()
+        give_back()
 
     n = partitions(docs.sparkSession)
     # Rows that are equal in id and text are dealt at random: any order among them is the same.

@@ -38,12 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ragged
+from .common import fold, give_back, ragged
 
 MAX_EXAMPLES = 4000
 NEIGHBOURS = 15
 BLOCK = 256
 BATCH = 64
+TEXTS = 512
 DENSE = 384
 LEAST_RELEVANCE = 0.01
 FIRST_BLOCKS = 2
@@ -79,9 +80,11 @@ class BlockMaxIndex:
         words = [t for t in counts if t in known]
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array([known[t] for t in words], dtype=np.int64)
-        w = (1 + np.log(np.array([counts[t] for t in words], dtype=np.float64))) * self.weight[at]
-        return at, w / np.sqrt(w @ w)
+        return self.weighted(np.array([known[t] for t in words], dtype=np.int64), np.array([counts[t] for t in words], dtype=np.float64))
+
+    def weighted(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.weight[at]
+        return at, w / (np.sqrt(w @ w) or 1)
 
     def add_all(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.n = len(vectors)
@@ -110,22 +113,26 @@ class SearchTables:
         self.row = np.searchsorted(index.example, np.arange(self.n + 1))
         self.row_term, self.row_value = index.term, index.value
         # By block and term.
-        order = np.lexsort((index.example, index.term, index.example // BLOCK))
-        example, term, value = index.example[order], index.term[order], index.value[order].astype(np.float32)
-        key = (example // BLOCK).astype(np.int64) * self.terms + term
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
-        maxima = np.zeros(self.blocks * self.terms, np.float32)
-        maxima[key[first]] = np.maximum.reduceat(value, first) if len(key) else 0
-        self.maxima = np.ascontiguousarray(maxima.reshape(self.blocks, self.terms).T)
-        df = np.bincount(term, minlength=self.terms)
+        df = np.bincount(index.term, minlength=self.terms)
         often = np.argsort(-df, kind="stable")[:DENSE]
-        self.dense_of = np.full(self.terms, -1, dtype=np.int64)
+        self.dense_of = np.full(self.terms, -1, dtype=np.int32)
         self.dense_of[often] = np.arange(len(often))
-        full = self.dense_of[term] >= 0
         self.dense = np.zeros((len(often), self.n), np.float32)
-        self.dense[self.dense_of[term[full]], example[full]] = value[full]
-        self.example, self.value = example[~full], value[~full]
-        self.begin = np.searchsorted(key[~full], np.arange(self.blocks * self.terms + 1)).astype(np.int32)
+        self.maxima = np.zeros((self.terms, self.blocks), np.float32)
+        self.begin = np.zeros((self.blocks, self.terms + 1), np.int32)
+        example, value, size = [], [], 0
+        for b in range(self.blocks):
+            own = slice(self.row[b * BLOCK], self.row[min((b + 1) * BLOCK, self.n)])
+            order = np.lexsort((index.example[own], index.term[own]))
+            e, t, v = index.example[own][order], index.term[own][order], index.value[own][order].astype(np.float32)
+            np.maximum.at(self.maxima[:, b], t, v)
+            full = self.dense_of[t] >= 0
+            self.dense[self.dense_of[t[full]], e[full]] = v[full]
+            self.begin[b] = size + np.searchsorted(t[~full], np.arange(self.terms + 1))
+            example.append(e[~full])
+            value.append(v[~full])
+            size += len(example[-1])
+        self.example, self.value = np.concatenate(example), np.concatenate(value)
         self.query = np.zeros(self.terms)
 
     def top(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -147,8 +154,8 @@ class SearchTables:
                 place.fill(-1)
                 place[rows] = np.arange(len(rows))
                 lists = np.flatnonzero(place[owner] >= 0)
-                begin = self.begin[b * self.terms + at[lists]]
-                number = self.begin[b * self.terms + at[lists] + 1] - begin
+                begin = self.begin[b][at[lists]]
+                number = self.begin[b][at[lists] + 1] - begin
                 some = number > 0
                 lists, begin, number = lists[some], begin[some], number[some]
                 posts = ragged(begin, number)
@@ -234,23 +241,20 @@ def fit(ids: list[int], texts: list[str], labels: list[int], base_rate: float) -
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(BlockMaxIndex(), y, np.array(ids, dtype=np.int64), constant=float(y.mean()) if len(y) else 0.0)
-    bags = [words_of(t) for t in texts]
-    seen = Counter()
-    bad = Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        seen.update(bag.keys())
-        if label:
-            bad.update(bag.keys())
-    words = sorted(seen)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    df = np.array([seen[t] for t in words], dtype=np.float64)
-    a = np.array([bad[t] for t in words], dtype=np.float64)
+    vocabulary: dict[str, int] = {}
+    bags = []
+    for t in texts:
+        counts = words_of(t)
+        bags.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in counts], dtype=np.int64), np.array(list(counts.values()), dtype=np.float64)))
+    terms, n1, n0 = len(vocabulary), int(y.sum()), int(len(y) - y.sum())
+    df, a = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(at for (at, _), label in zip(bags, labels, strict=True) if label >= least)]), minlength=terms).astype(float) for least in (0, 1))
     b = df - a
     chi2 = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n1 + n0) / np.maximum(df * (n1 + n0 - df) * n1 * n0, 1)
-    index = BlockMaxIndex({t: i for i, t in enumerate(words)}, (np.log((1 + len(y)) / (1 + df)) + 1) * np.maximum(np.sqrt(chi2), LEAST_RELEVANCE))
-    vectors = [index.vector(bag) for bag in bags]
+    index = BlockMaxIndex(vocabulary, (np.log((1 + len(y)) / (1 + df)) + 1) * np.maximum(np.sqrt(chi2), LEAST_RELEVANCE))
+    vectors = [index.weighted(at, n) for at, n in bags]
+    del bags
     heaviest = [int(at[w.argmax()]) if len(at) else -1 for at, w in vectors]
-    language = language_of(vectors, len(words))
+    language = language_of(vectors, terms)
     order = sorted(range(len(y)), key=lambda i: (language[i], labels[i], heaviest[i], i))
     vectors = [vectors[i] for i in order]
     index.add_all(vectors)
@@ -298,13 +302,16 @@ def score_docs(docs: DataFrame, model: ToxicityModel, text: str = "text", out: s
     @F.arrow_udf(RESULT)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            coded = texts.dictionary_encode()  # copies in a batch are searched once
-            got = model.nearest(coded.dictionary.to_pylist())
-            nothing = model.nearest([""])[0] if coded.null_count else None
-            rows = [nothing if i is None else got[i] for i in coded.indices.to_pylist()]
+            rows: list[tuple[float, np.ndarray, np.ndarray]] = []
+            for i in range(0, len(texts), TEXTS):
+                some = [t or "" for t in texts.slice(i, TEXTS).to_pylist()]
+                once = list(dict.fromkeys(some))  # copies are searched once
+                found = dict(zip(once, model.nearest(once), strict=True))
+                rows += [found[t] for t in some]
             who = np.concatenate([np.zeros(0, np.int64), *(r[1] for r in rows)])
             evidence = pa.StructArray.from_arrays([pa.array(model.ids[who], pa.int64()), pa.array(np.round(np.concatenate([np.zeros(0), *(r[2] for r in rows)]), 6)), pa.array(model.labels[who], pa.int32())], ["example", "cosine", "label"])
             ends = np.cumsum([0, *(len(r[1]) for r in rows)])
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), evidence)], ["score", "evidence"])
+        give_back()
 
     return docs.withColumn(out, scored(F.col(text)))
