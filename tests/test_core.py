@@ -157,3 +157,97 @@ def test_stream_resumes(spark, tmp_path):
     source = spark.readStream.schema("query_id long").parquet(f"{tmp_path}/in")
     probe_stream(source, t, lambda b: b.withColumn("v", F.lit("new")), f"{tmp_path}/ck").awaitTermination()
     assert sorted(tuple(r) for r in t.read().collect()) == [(0, "old"), *[(i, "new") for i in range(1, 5)]]
+
+
+def _cli(*argv):
+    from escalade import cli
+
+    return cli.main([str(x) for x in argv])
+
+
+def _staged(base):
+    """Raw rows of the three datasets."""
+    import json
+
+    def put(name, split, rows):
+        (base / "raw" / name).mkdir(parents=True, exist_ok=True)
+        (base / "raw" / name / f"{split}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+    arc = lambda s, n: [{"id": f"{s}{i}", "question": f"Which is number {i} of {s}?", "labels": ["1", "2", "3"], "texts": [f"one {i}", f"two {s}", "three"], "answer_key": str(i % 3 + 1)} for i in range(n)]
+    hop = lambda s, n: [{"id": f"{s}{i}", "question": f"Who wrote book {i} in {s}?", "answer": ["paris", "rome"][i % 2], "level": ["easy", "hard"][i % 2], "type": "bridge", "titles": ["T", "U"], "sentences": [[f"A {i}."], ["B."]], "supporting": ["T"]} for i in range(n)]
+    for s, n in (("train", 40), ("validation", 20), ("test", 30)):
+        put("arc_challenge", s, arc(s, n))
+    for s, n in (("train", 60), ("validation", 30)):
+        put("hotpotqa", s, hop(s, n))
+    for s, n in (("validation", 24), ("test", 36)):
+        put("mmlu", s, [{"row_index": i, "subject": ["law", "math", "art"][i % 3], "question": f"{s} question {i}?", "choices": [f"w{i}", "x", "y", "z"], "answer": str(i % 4)} for i in range(n)])
+    roles = lambda **k: {r: dict(zip(("split", "max_examples"), v, strict=True)) for r, v in k.items()}
+    config = {
+        "version": "v", "seed": 7, "pricing": {"weak": {"input_per_mtok": 1.0, "output_per_mtok": 2.0}}, "paraphrase": {"k": 2},
+        "datasets": {
+            "arc_challenge": {"roles": roles(fit=("train", 30), calib=("validation", None), eval=("test", 25))}, "hotpotqa": {"context_policy": "full_context", "roles": roles(fit=("train", 30), calib=("train", 10), eval=("validation", 25))},
+            "mmlu": {"subjects": ["law", "math"], "roles": {"fit": {"split": "validation", "per_subject": None}, "eval": {"split": "test", "per_subject": 5}}},
+        },
+    }
+    (base / "config.json").write_text(json.dumps(config))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    _staged(tmp_path)
+    base, config = f"file://{tmp_path}", f"file://{tmp_path}/config.json"
+    _cli("--base", base, "corpus", "--config", config)
+    counts = json.loads((tmp_path / "corpus/corpus_manifest.json").read_text())["counts"]
+    assert counts == {"fit": 30 + 30 + 16, "calib": 20 + 10, "eval": 25 + 25 + 10}
+    rows = spark.read.json(f"{tmp_path}/corpus/queries_*.jsonl")
+    hop = rows.where("source = 'hotpotqa' and hf_split = 'train'")
+    assert hop.select("raw_id").distinct().count() == 40
+    _cli("--base", base, "corpus", "--config", config, "--smoke", "--out", f"{base}/small")
+    assert max(json.loads((tmp_path / "small/corpus_manifest.json").read_text())["counts"].values()) <= 32
+    _cli("--base", base, "complexity")
+    phi = {r["query_id"]: r for r in spark.read.parquet(f"{tmp_path}/phi").collect()}
+    assert len(phi) == sum(counts.values()) and len({r["C_atypical"] for r in phi.values()}) > 10
+    _cli("--base", base, "query-model", "--config", config, "--save-every", 20, "--roles", "fit", "calib", "eval")
+    said = [x for x in capsys.readouterr().out.splitlines() if x.startswith("fit/weak")]
+    assert len(said) == 4 and "76 stored" in said[-1]
+    probes = store.VersionedTable(spark, f"{base}/probes/fit_weak", "query_id string, U double, k long, n_calls long, prompt_tokens long, completion_tokens long, usd_est double").read().collect()
+    assert len(probes) == 76 and {(r["U"], r["k"], r["n_calls"]) for r in probes} == {(0.0, 2, 3)}
+    assert all(abs(r["usd_est"] - (r["prompt_tokens"] + 2 * r["completion_tokens"]) / 1e6) < 1e-8 for r in probes)
+    versions = len(store.VersionedTable(spark, f"{base}/probes/fit_weak", "query_id string").versions())
+    _cli("--base", base, "query-model", "--config", config, "--roles", "fit", "--model-roles", "weak", "--no-paraphrase", "--limit", 5)
+    assert len(store.VersionedTable(spark, f"{base}/probes/fit_weak", "query_id string").versions()) >= min(versions, 2)
+    assert _cli("--base", base, "query-model-analyze", "--verify-only", "--json-out", f"{base}/report.json") == 0
+    report = json.loads((tmp_path / "report.json").read_text())
+    assert report["model_roles"] == {"weak": 76} and report["issues"] == []
+    assert _cli("--base", base, "query-model-analyze", "--json-out", f"{base}/report.json") == 0
+    assert {r["slice"] for r in json.loads((tmp_path / "report.json").read_text())["accuracy"]} >= {"pooled", "arc", "hotpotqa", "mmlu"}
+    for step in ("rank", "sweep", "eval", "curves", "join-check"):
+        assert _cli("--base", base, "route", step) == 0
+    sets = {r["set"] for r in spark.read.json(f"{tmp_path}/eval_eval.jsonl").collect()}
+    assert "S_H" in sets and (tmp_path / "rank_fit.json").exists()
+    _cli("--base", base, "query-model-restore", "--stem", "fit_weak", "--dry-run")
+
+
+def test_first_rows_are_those_of_the_file(spark, tmp_path):
+    for role in ("fit", "calib", "eval"):
+        (tmp_path / f"queries_{role}.jsonl").write_text("".join(f'{{"query_id": "{role}{i}", "role": "{role}"}}\n' for i in range(20, 0, -1)))
+    got = store.load_corpus(spark, str(tmp_path), "query_id string, role string", limit=3)
+    assert sorted(r["query_id"] for r in got.collect()) == sorted(f"{r}{i}" for r in ("fit", "calib", "eval") for i in (20, 19, 18))
+
+
+@pytest.mark.parametrize("name", ["probe_records", "complexity_geometry", "corr_spearman", "entropy_tertile_error", "upsert", "resume_todo", "paraphrase_surfaces", "fit_violations", "joined_last_wins", "random_escalation", "latest_backup_prune", "knn_similarity", "lof_score"])
+def test_sql(spark, sf, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events documents embeddings conversations labels".split():
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = db.execute(catalog.oracle_sql()[name])
+    columns = sorted(c[0] for c in want.description)
+    at = [[c[0] for c in want.description].index(c) for c in columns]
+    plain = lambda v: round(v, 5) + 0.0 if isinstance(v, float) else v
+    got = catalog.queries()[name](spark, sf)
+    assert sorted(got.columns) == columns
+    key = lambda r: [str(x) for x in r]
+    assert sorted(([plain(r[c]) for c in columns] for r in got.collect()), key=key) == sorted(([plain(r[i]) for i in at] for r in want.fetchall()), key=key)
