@@ -512,6 +512,8 @@ def test_pipeline(spark, sf):
         assert kept.columns == docs.columns
         rows = [(r["doc_id"], r["text"]) for r in before.collect()]
         left = sorted(r["doc_id"] for r in kept.collect())
+        if name == "toxicity":
+            assert left == sorted(d for d, clean in plain_toxicity(before, spark.read.parquet(f"{sf}/labels.parquet")) if clean)
         if name == "near_duplicates":
             assert left == sorted({c if n else d for d, n, c in brute.op2(rows)})
         if name == "decontamination":
@@ -520,6 +522,54 @@ def test_pipeline(spark, sf):
         if name == "pii":
             assert left == sorted(d for d, _ in rows)
             assert all(not sum(r[1:5]) for r in brute.op5([(r["doc_id"], r["text"]) for r in kept.collect()]))
-    out = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
-    assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+    out = corpus_pipeline.STAGES[-1][1](spark, kept, sf).toPandas()
+    t, want = brute.tokenizer("word_bpe_49k.json"), []
+    for r in kept.collect():
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        want += [(r["doc_id"], k, a, len(ids[a : a + 2048]), brute.crc(ids[a : a + 2048])) for k, a in enumerate(range(0, len(ids), 2048))]
+    assert sorted(map(tuple, out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))) == sorted(want)
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g["length"].sum() <= 2048 and (g["length"].cumsum() - g["length"]).tolist() == g["offset"].tolist()
+    assert out["sequence_id"].nunique() == -(-out["length"].sum() // 2048)  # the lower bound
+    ran = corpus_pipeline.run(spark, sf).toPandas()
+    order = ["doc_id", "piece"]
+    columns = [*order, "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert ran.sort_values(order)[columns].reset_index(drop=True).equals(out.sort_values(order)[columns].reset_index(drop=True))
     assert set(queries.queries()) == {n for n in queries.queries() if n.startswith("op")} and len(queries.queries()) == 10
+
+
+def plain_toxicity(docs, labels):
+    """(doc_id, clean) by dense cosines to all examples of the stage's model."""
+    model = toxicity.fit_on(docs, labels)
+    text_of = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    number = {w: i for i, w in enumerate(model.index.vocabulary)}
+
+    def dense(text):
+        v = np.zeros(len(number))
+        for w, n in Counter(toxicity._WORD.findall(text.lower())).items():
+            if w in number:
+                v[number[w]] = (1 + np.log(n)) * model.index.weight[model.index.vocabulary[w]]
+        return v / (np.linalg.norm(v) or 1)
+
+    examples = np.stack([dense(text_of[i]) for i in model.ids.tolist()])
+    for r in docs.collect():
+        cosines = np.round(examples @ dense(r["text"] or ""), 12)
+        order = np.lexsort((np.arange(len(cosines)), -cosines))[: toxicity.NEIGHBOURS]
+        order = order[cosines[order] > 0]
+        bad = model.labels[order] == 1
+        w = cosines[order] ** 2 * np.where(bad, model.weights[1], model.weights[0])
+        score = model.calibrated(float((w[bad].sum() + 0.0001) / (w.sum() + 0.0002))) if len(order) else model.base
+        yield r["doc_id"], score < 0.5
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    schema = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, s in schema.items():
+        spark.createDataFrame([], s).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rows = [(None, "some words that stand here alone " * 3, "en", None, 9), (None, None, None, "s", None), (3, "", "en", "s", 0), (4, "tie " * 30, "en", "s", 9), (4, "tie " * 30, "en", "s", 9), (5, "tie " * 30, "en", "s", 9), (6, "w " * 200_000, "en", "s", 9)]
+    spark.createDataFrame(rows, schema["documents"]).withColumns({c: F.lit(1) for c in ("toxicity", "pii", "n_words", "sequence_id", "key_id")}).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([(3, 0, None), (4, None, 0)], schema["labels"]).write.parquet(f"{tmp_path}/odd/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "not there")], schema["benchmark"]).write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert Counter((r["doc_id"] is None, r["doc_id"]) for r in out if r["piece"] == 0) == {(True, None): 2, (False, 3): 1, (False, 4): 1, (False, 6): 1}
