@@ -1,7 +1,14 @@
 """The training-data pipeline: toxicity, near duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next one's docs. All stages but the last return the columns of docs.
+next one's docs. All stages but the last return the columns of docs, in their order; further columns of any name pass
+through as they are.
+
+Defined results. Null and empty texts are clean of all that is looked for, are no near duplicates of anything, and are
+packed as one piece of the end id. A null doc_id is an id like others; of a class of near duplicates the least id that is
+not null stays, of rows with equal ids the one of the least text hash, of rows equal in both one. Rows without words all
+stay. Null labels teach nothing; without labels of both kinds the score is the rate of label 1. Empty tables
+give empty tables.
 """
 
 from __future__ import annotations
