@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components, mix64, partitions, ragged, row_key, saved, text_chunks
+from .common import Forest, Scratch, components, give_back, mix64, partitions, ragged, row_key, saved, text_chunks
 
 SHINGLE = 5
 ALL_PAIRS = 12
@@ -232,6 +232,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(texts[i:j])
             own = [b.column(c).slice(i, j - i) for c in ("doc_id", "key_id", "key_text", "text")]
             yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "key_id", "key_text", "text", "n_shingles", "set_id", "sketch"])
+    give_back()
 
 
 BLOBS = "bucket long, sig binary, counts binary, ids binary, sizes binary, spare binary"
@@ -263,6 +264,7 @@ def _member_blobs(buckets: int):
                     end = int(first[y]) if y < len(first) else len(low)
                     rows.append((int(bucket[x]), low[first[x] : end].tobytes(), *(c[x:y].tobytes() for c in columns)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], ["bucket", "sig", "counts", "ids", "sizes", "spare"])
+        give_back()
 
     return run
 
@@ -286,6 +288,7 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(row["sig"]) // 4
     if held:
         yield from _pairs_and_notes(bucket, held, met, False)[0]
+    give_back()
 
 
 def _pairs_and_notes(bucket: int, held: list[dict], met: tuple[np.ndarray, ...], more: bool) -> tuple[list[pa.RecordBatch], tuple[np.ndarray, ...]]:

@@ -37,9 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, partitions, ragged, row_key, saved, text_chunks
+from .common import Scratch, give_back, mix64, partitions, ragged, row_key, saved, text_chunks
 
 LENGTH = 200
+#: Bytes that a task hashes or refines at a time.
+CHUNK_BYTES = 500_000
 #: Parts of a bucket that are refined inside a task; larger buckets are split first.
 TASK_PARTS = 64
 _RNG = np.random.default_rng(6021)
@@ -116,7 +118,7 @@ def _rows(length: int):
         for b in batches:
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
             keys = [b.column(c).to_numpy() for c in ("key_id", "key_text")]
-            for i, j in text_chunks(texts, 1_000_000):
+            for i, j in text_chunks(texts, CHUNK_BYTES):
                 lengths = np.array([len(t) for t in texts[i:j]], dtype=np.int64)
                 of, place, gram, first, last, hashes = anchors(np.frombuffer(b"".join(texts[i:j]), dtype=np.uint8), lengths, length)
                 if len(place):
@@ -125,6 +127,7 @@ def _rows(length: int):
                     begin = np.cumsum(lengths) - lengths
                     columns = (gram.view(np.int64), context.view(np.int64), keys[0][i + of], keys[1][i + of], (first - begin[of]).astype(np.int32), (last - first + 1).astype(np.int32), (place - first).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "key_id", "key_text", "first", "n", "anchor"])
+        give_back()
 
     return run
 
@@ -228,13 +231,14 @@ def _refine(length: int):
 
         for b in batches:  # sorted by bucket: a bucket's rows follow each other
             for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "part", "copies", "bytes", "anchor")), strict=True):
-                if size > 2_000_000 and r[0] != rows[-1][0]:
+                if size > CHUNK_BYTES and r[0] != rows[-1][0]:
                     yield settle()
                     rows, size = [], 0
                 rows.append(r)
                 size += len(r[3])
         if rows:
             yield settle()
+        give_back()
 
     return run
 
@@ -254,6 +258,7 @@ def _strip(length: int):
                 kept = b"".join(t[i:j] for i, j in zip([0, *stops.tolist()], [*starts.tolist(), len(t)], strict=True))
                 out.append((d, len(t), len(t) - len(kept), len(starts), kept))
             yield _batch(out, KEPT)
+        give_back()
 
     return run
 
