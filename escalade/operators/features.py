@@ -30,7 +30,7 @@ def prompt_features(rows: DataFrame, prompt: str = "prompt", compression: bool =
         T.mattr(F.col("__toks")).alias("mattr"), (T.compression_ratio(p) if compression else F.lit(None).cast("double")).alias("compression_ratio"),
     ]
     cues = [
-        T.requirements(p), T.bloom_depth(F.col("__qtoks"), F.col("__qlower")), T.hits(L.MULTIHOP, F.col("__qtoks"), F.col("__qlower")), T.domain_breadth(F.col("__toks"), F.col("__lower")), T.occurrences(p, "?"), T.sentences(F.col("__q")),
+        T.requirements(p), T.bloom_depth(F.col("__qtoks"), F.col("__qlower")), T.hits(L.MULTIHOP, F.col("__qlower")), T.domain_breadth(F.col("__lower")), T.occurrences(p, "?"), T.sentences(F.col("__q")),
     ]
     out = base.withColumns({"structural": F.struct(*structural), "linguistic_cues": F.struct(*[c.cast("double").alias(n) for n, c in zip(LINGUISTIC, cues, strict=True)])})
     return out.drop("__q", "__opts", "__toks", "__lower", "__qtoks", "__qlower", "__lens")
@@ -55,6 +55,15 @@ def zstats(flat: DataFrame, floor: float = 0.0) -> DataFrame:
     return stats.withColumn("std", F.when(F.col("std") > floor, F.col("std")).otherwise(F.lit(1.0)))
 
 
+def block_zstats(rows: DataFrame, blocks: dict[str, tuple[str, ...]], floor: float = 0.0) -> DataFrame:
+    """zstats of all numbers of the blocks: one row of aggregates, then a row for each feature that has a finite value."""
+    names = [(b, f) for b, fs in blocks.items() for f in fs]
+    value = lambda b, f: F.when(finite(F.col(f"{b}.{f}").cast("double")), F.col(f"{b}.{f}").cast("double"))
+    one = rows.agg(*[F.struct(F.avg(value(b, f)).alias("mean"), F.stddev_pop(value(b, f)).alias("std")).alias(f"s{i}") for i, (b, f) in enumerate(names)])
+    long = one.select(F.explode(F.array(*[F.struct(F.lit(f"{b}.{f}").alias("feature"), F.col(f"s{i}.mean").alias("mean"), F.col(f"s{i}.std").alias("std")) for i, (b, f) in enumerate(names)])).alias("x")).select("x.*")
+    return long.where(F.col("mean").isNotNull()).withColumn("std", F.when(F.col("std") > floor, F.col("std")).otherwise(F.lit(1.0)))
+
+
 def zscored(flat: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     """(key, feature, z) for the features that the statistics know."""
     return flat.join(stats, "feature").select(key, "feature", ((F.col("value") - F.col("mean")) / F.col("std")).alias("z"))

@@ -186,7 +186,7 @@ def flatten_numeric(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def zscore_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(X.zstats(X.flattened(_phi(spark, sf).where("role = 'fit'"), "doc_id", BLOCKS)))
+    return rounded(X.block_zstats(_phi(spark, sf).where("role = 'fit'"), BLOCKS))
 
 
 @query
@@ -408,9 +408,17 @@ def fit_zstats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.feature_stats(_role(spark, sf, "fit")))
 
 
-def _scored(spark: SparkSession, sf: str, role: str) -> DataFrame:
+Fitted = tuple[DataFrame, DataFrame]
+
+
+def _fitted(spark: SparkSession, sf: str) -> Fitted:
+    """Statistics and feature sets of the fit split, computed once for a query."""
+    return R.frozen(R.feature_stats(_role(spark, sf, "fit"))), R.frozen(R.feature_sets(_order(spark, sf)))
+
+
+def _scored(spark: SparkSession, sf: str, role: str, fitted: Fitted | None = None) -> DataFrame:
     keep = ["query_id", "source", "is_mc", "weak_ok", "strong_ok", "has_strong", "latency_weak", "latency_strong"]
-    return R.set_scores(_role(spark, sf, role), R.frozen(R.feature_stats(_role(spark, sf, "fit"))), R.frozen(R.feature_sets(_order(spark, sf))), keep)
+    return R.set_scores(_role(spark, sf, role), *(fitted or _fitted(spark, sf)), keep)
 
 
 @query
@@ -418,8 +426,8 @@ def route_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_scored(spark, sf, "eval").select("set", "query_id", "score"))
 
 
-def _curve(spark: SparkSession, sf: str) -> DataFrame:
-    return R.frozen(R.swept(_scored(spark, sf, "calib")))
+def _curve(spark: SparkSession, sf: str, fitted: Fitted | None = None) -> DataFrame:
+    return R.frozen(R.swept(_scored(spark, sf, "calib", fitted)))
 
 
 @query
@@ -427,8 +435,8 @@ def sweep_curve(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_curve(spark, sf).select("set", "tau", "tau_tag", "alpha", "accuracy", "pgr", "r_weak", "r_strong"))
 
 
-def _taus(spark: SparkSession, sf: str, select: str = "cpt80") -> DataFrame:
-    return R.frozen(R.picked(_curve(spark, sf), select))
+def _taus(spark: SparkSession, sf: str, select: str = "cpt80", fitted: Fitted | None = None) -> DataFrame:
+    return R.frozen(R.picked(_curve(spark, sf, fitted), select))
 
 
 @query
@@ -453,7 +461,8 @@ def cpt_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def eval_frozen(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.evaluated(_scored(spark, sf, "eval"), _taus(spark, sf)))
+    fitted = _fitted(spark, sf)
+    return rounded(R.evaluated(_scored(spark, sf, "eval", fitted), _taus(spark, sf, fitted=fitted)))
 
 
 @query
@@ -473,20 +482,23 @@ def random_escalation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def escalate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scored(spark, sf, "eval").join(F.broadcast(_taus(spark, sf).select("set", "tau")), "set")
+    fitted = _fitted(spark, sf)
+    rows = _scored(spark, sf, "eval", fitted).join(F.broadcast(_taus(spark, sf, fitted=fitted).select("set", "tau")), "set")
     return rows.select("set", "query_id", R.escalated(F.col("score"), F.col("tau")).alias("escalated"))
 
 
 @query
 def alpha_drag(spark: SparkSession, sf: str) -> DataFrame:
-    e = R.evaluated(_scored(spark, sf, "eval"), _taus(spark, sf))
+    fitted = _fitted(spark, sf)
+    e = R.frozen(R.evaluated(_scored(spark, sf, "eval", fitted), _taus(spark, sf, fitted=fitted)))
     a = lambda s: e.where(F.col("slice") == s).select("set", F.col("alpha").alias(s))
     return rounded(a("pooled").join(a("mc_pooled"), "set").select("set", (F.col("pooled") - F.col("mc_pooled")).alias("drag")))
 
 
 @query
 def curve_markers(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.markers(R.swept(_scored(spark, sf, "eval")), _taus(spark, sf)))
+    fitted = _fitted(spark, sf)
+    return rounded(R.markers(R.swept(_scored(spark, sf, "eval", fitted)), _taus(spark, sf, fitted=fitted)))
 
 
 @query

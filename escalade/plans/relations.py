@@ -64,18 +64,8 @@ def probes(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return rows.withColumn("s", s).select("query_id", F.lit(which).alias("model_role"), "source", "role", F.col(f"{which}_probs").alias("probs"), "s.*", F.col(f"{which}_latency").alias("latency_ms"))
 
 
-_JOINED: dict[tuple[str, str], DataFrame] = {}
-
-
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The joined relation, persisted (memory, then disk): every routing step reads it several times."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _JOINED:
-        _JOINED[key] = _joined(spark, sf_dir).persist()
-    return _JOINED[key]
-
-
-def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined relation: columns of one table, so that reading it again costs a scan and narrow joins."""
     base = probe_base(spark, sf_dir)
     corpus_rows = base.select("query_id", "vec_id", "source", "role", "task_type", "metric", "gold", "is_mc")
     phi = base.select("query_id", "C_length", "C_density", "C_atypical", "C_linguistic", "C_query")
