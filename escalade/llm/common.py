@@ -86,26 +86,26 @@ class Scratch:
     """Tables of one computation in the shared folder. drop() deletes those that nothing will read again; leaving the scope deletes the rest."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark = spark
+        self.tables: dict[str, DataFrame] = {}  # by path
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        for path in self.paths.values():
+        for path in self.tables:
             delete(self.spark, path)
-        self.paths = {}
+        self.tables = {}
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = fresh_path(self.spark, name)
-        self.paths[id(df)] = path
-        out = _written(df, path, codec)
-        self.paths[id(out)] = self.paths.pop(id(df))
-        return out
+        self.tables[path] = _written(df, path, codec)
+        return self.tables[path]
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            delete(self.spark, self.paths.pop(id(t)))
+        for path in [p for p, t in self.tables.items() if any(t is x for x in tables)]:
+            delete(self.spark, path)
+            del self.tables[path]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -573,3 +573,15 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, "not there")], schema["benchmark"]).write.parquet(f"{tmp_path}/odd/benchmark.parquet")
     out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
     assert Counter((r["doc_id"] is None, r["doc_id"]) for r in out if r["piece"] == 0) == {(True, None): 2, (False, 3): 1, (False, 4): 1, (False, 6): 1}
+
+
+def test_scratch_deletes_its_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    with common.Scratch(spark) as scratch:
+        kept = scratch.save(spark.range(3), "a")
+        for _ in range(5):
+            scratch.save(spark.range(3), "b").select("id")  # nobody holds these
+        gone = scratch.save(spark.range(3), "c")
+        scratch.drop(gone)
+        assert sorted(p.name[0] for p in tmp_path.iterdir()) == ["a", *"bbbbb"] and kept.count() == 3
+    assert not list(tmp_path.iterdir())
