@@ -108,6 +108,15 @@ class Scratch:
             del self.tables[path]
 
 
+#: Rows of some numbers each (8 to 16 bytes) that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast if it has at most BROADCAST_ROWS rows; a larger one is joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, saved
+from .common import ascii_lower, few, row_key, saved
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -107,7 +107,9 @@ def phrases_at(docs: DataFrame, windows: DataFrame, places: DataFrame, doc_id: s
     found = places.where("exact").join(windows, "window_id")
     by_doc = saved(found.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("start", "n_terms", "terms", "items")).alias("cands")), "candidates")
     candidate_docs = docs.select(doc_id, text).withColumns(dict(zip(("key_id", "key_text"), row_key(doc_id, text), strict=True)))
-    whole = candidate_docs.join(by_doc, ["key_id", "key_text"])
+    # The texts of other documents do not travel.
+    own = candidate_docs.join(few(by_doc.select("key_id", "key_text")), ["key_id", "key_text"], "left_semi")
+    whole = own.join(by_doc, ["key_id", "key_text"])
     whole = whole.select("key_id", "key_text", words_of(F.col(text)).alias("w"), "cands")
     hits = whole.select("key_id", "key_text", F.filter("cands", lambda c: F.slice("w", c["start"] + 1, c["n_terms"]) == c["terms"]).alias("h")).where("size(h) > 0")
     positions = F.array_distinct(F.flatten(F.transform("h", lambda c: F.sequence(c["start"], c["start"] + c["n_terms"] - 1))))
@@ -142,4 +144,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """The rows of docs without a match."""
     hit = saved(phrase_matches(docs, benchmark, doc_id, text, item_id, item_text, window, rarest).select(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text")), "hit")
-    return docs.withColumns(dict(zip(("__key_id", "__key_text"), row_key(doc_id, text), strict=True))).join(hit, ["__key_id", "__key_text"], "left_anti").select(*docs.columns)
+    return docs.withColumns(dict(zip(("__key_id", "__key_text"), row_key(doc_id, text), strict=True))).join(few(hit), ["__key_id", "__key_text"], "left_anti").select(*docs.columns)

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components, give_back, mix64, partitions, ragged, row_key, saved, text_chunks
+from .common import Forest, Scratch, components, few, give_back, mix64, partitions, ragged, row_key, saved, text_chunks
 
 SHINGLE = 5
 ALL_PAIRS = 12
@@ -62,8 +62,6 @@ CHUNK_BYTES = 500_000
 #: Shingles a bucket is planned for, and signatures that a task holds at a time.
 BUCKET_SHINGLES = 1 << 19
 MOST_SIGNATURES = 1 << 21
-#: Set ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _MUL = _RNG.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
@@ -447,8 +445,7 @@ def _compare_blocks(forest: bool):
 def whole_sets(holders: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(set_id, hashes) of the sets in pairs, each made again from its holder's text."""
     wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return scratch.save(holders.select("set_id", "text").join(few, "set_id", "left_semi").mapInArrow(_whole_sets, "set_id long, hashes binary"), "whole-sets", codec="lz4")
+    return scratch.save(holders.select("set_id", "text").join(few(wanted), "set_id", "left_semi").mapInArrow(_whole_sets, "set_id long, hashes binary"), "whole-sets", codec="lz4")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -520,13 +517,14 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with the least id of their class, one row a class; rows without words all stay. A null id stays only where the class has no other."""
-    known = keyed_classes(docs, doc_id, text)
-    best = known.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "key_id", "key_text")).alias("k")).select("k.key_id", "k.key_text")
-    kept = saved(best.unionByName(known.where("class_id is null").select("key_id", "key_text").distinct()).select(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text")), "kept")
+    known = keyed_classes(docs, doc_id, text).where("class_id is not null")
+    # Written first: a join straight on the aggregate could not be split where one class holds many rows.
+    best = saved(known.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "key_id", "key_text")).alias("k")).select("class_id", F.col("k.key_id").alias("best_id"), F.col("k.key_text").alias("best_text")), "best")
+    others = known.join(best, "class_id").where("key_id <> best_id or key_text <> best_text").select(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text"))
     key_id, key_text = row_key(doc_id, text)
-    out = docs.withColumns({"__key_id": key_id, "__key_text": key_text}).join(kept, ["__key_id", "__key_text"], "left_semi")
-    if not known.where("class_id is not null").groupBy("key_id", "key_text").count().where("count > 1").isEmpty():
-        with_words = known.where("class_id is not null").select(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text")).distinct()
-        once = out.join(with_words, ["__key_id", "__key_text"], "left_semi").dropDuplicates(["__key_id", "__key_text"])
-        out = once.unionByName(out.join(with_words, ["__key_id", "__key_text"], "left_anti"))
+    out = docs.withColumns({"__key_id": key_id, "__key_text": key_text}).join(few(saved(others.distinct(), "others")), ["__key_id", "__key_text"], "left_anti")
+    twice = saved(known.groupBy("key_id", "key_text").count().where("count > 1").select(F.col("key_id").alias("__key_id"), F.col("key_text").alias("__key_text")), "repeated")
+    if not twice.isEmpty():
+        once = out.join(few(twice), ["__key_id", "__key_text"], "left_semi").dropDuplicates(["__key_id", "__key_text"])
+        out = once.unionByName(out.join(few(twice), ["__key_id", "__key_text"], "left_anti"))
     return out.select(*docs.columns)
