@@ -24,10 +24,6 @@ def norm(a: Column) -> Column:
     return F.when(n > 0, n).otherwise(F.lit(1.0))
 
 
-def as_doubles(c: Column) -> Column:
-    return c.cast("array<double>")
-
-
 def centroid(vectors: DataFrame, vector: str = "v") -> DataFrame:
     """One row: the mean vector."""
     means = vectors.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))

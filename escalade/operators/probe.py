@@ -104,11 +104,11 @@ def usd(costs: DataFrame, prices: DataFrame) -> DataFrame:
     return both.withColumn("usd_est", F.round((F.col("prompt_tokens") * price["usd_in"] + F.col("completion_tokens") * price["usd_out"]) / 1e6, 8)).drop("price_model_id", "price_model_role")
 
 
-def stand_in_records(corpus: DataFrame, model_id: str, model_role: str, k: int = 3, n_samples: int = 3, prices: DataFrame | None = None) -> DataFrame:
+def stand_in_records(corpus: DataFrame, model_id: str, model_role: str, k: int = 3, n_samples: int = 3, prices: DataFrame | None = None, paraphraser: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Probe records of the deterministic stand-in model, one a query: answer scores on the first surface, agreement over k surfaces, cost of all its calls.
 
     k of at most 1 probes the prompt alone; U, agreement and mode are null then. Tokens are white-space separated
-    words; prices(name, usd_in, usd_out) adds usd_est.
+    words; prices(name, usd_in, usd_out) adds usd_est. paraphraser(rows, k) takes the place of surface_prompts.
     """
     rows = corpus.withColumns({"labels": T.option_labels(F.col("prompt")), "model": F.lit(model_id)})
     letters = F.array(*[F.lit(x) for x in "ABCDE"])
@@ -122,7 +122,7 @@ def stand_in_records(corpus: DataFrame, model_id: str, model_role: str, k: int =
     a = mc.select(*own, "probe", *[F.col(f"answer_scores.{c}").alias(c) for c in ("H", "p_max", "pred", "margin", "top2_mass")])
     b = free.join(clustered, "query_id").select(*own, F.lit("freeform_clusters").alias("probe"), "H", "p_max", "pred", "margin", "top2_mass")
     several = k > 1
-    surfaces = surface_prompts(rows, k) if several else rows.withColumns({"surface_no": F.lit(0), "surface_prompt": F.col("prompt")})
+    surfaces = (paraphraser or surface_prompts)(rows, k) if several else rows.withColumns({"surface_no": F.lit(0), "surface_prompt": F.col("prompt")})
     asked = surfaces.select("query_id", "surface_no", F.greatest(F.size(T.spaced(F.col("surface_prompt"))), F.lit(1)).cast("long").alias("prompt_tokens"), is_mc.alias("is_mc"), F.when(is_mc, S.distribution_scores(probs)["pred"]).otherwise(S.stand_in_samples(F.col("query_id"), F.col("model"), 1, 0)[0]).alias("answer"))
     call = lambda rows, pos, n: rows.select("query_id", F.lit(None).cast("double").alias("latency_ms"), "prompt_tokens", F.when(F.col("is_mc"), 0).otherwise(ANSWER_TOKENS * n).cast("long").alias("completion_tokens"), F.lit(1).alias("n_calls"), F.when(F.col("is_mc"), "mc_letter").otherwise("freeform_sample").alias("kind"), pos.alias("pos"))
     calls = call(asked.where("surface_no = 0"), F.lit(0), n_samples).unionByName(call(asked, F.col("surface_no") + 1, 1))

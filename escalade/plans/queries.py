@@ -552,6 +552,43 @@ def validation_signals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(auroc(long, ["feature"], F.col("needs_strong"), F.col("value")))
 
 
+@query
+def validation_joint(spark: SparkSession, sf: str) -> DataFrame:
+    """The joint score of standardised complexity and entropy against the need for the strong model."""
+    fit = _role(spark, sf, "fit").where("has_strong")
+    stats = fit.agg(*[f(c).alias(f"{n}_{c}") for c in ("C_query", "H") for n, f in (("m", F.avg), ("s", F.stddev_pop))])  # one row
+    z = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")
+    rows = fit.crossJoin(F.broadcast(stats)).withColumn("joint", 0.5 * z("C_query") + 0.5 * z("H"))
+    return rounded(auroc(rows, ["source"], F.col("needs_strong"), F.col("joint")).select("source", "n", "n_pos", "auroc"))
+
+
+@query
+def u_h_redundancy(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlation of disagreement and entropy over the same answers."""
+    events = D.table(spark, sf, "events").select("user_id", F.col("event_id").alias("pos"), F.col("event_type").alias("answer"))
+    u = P.paraphrase_agreement(events, ["user_id"], "answer", "pos").select("user_id", "U")
+    return rounded(P.answer_clusters(events, ["user_id"]).select("user_id", "H").join(u, "user_id").agg(F.count("*").alias("n"), F.corr("U", "H").alias("r")))
+
+
+@query
+def level_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Spearman's correlation of complexity with a level of difficulty."""
+    names = ["C_length", "C_linguistic", "C_query"]
+    rows = _role(spark, sf, "fit").withColumn("level", (F.col("vec_id") % 4).cast("double"))
+    long = R.unpivoted(rows, ["query_id"], [*names, "level"]).withColumnRenamed("value", "s")
+    ranks = with_rows_before(long.groupBy("feature", "s").agg(F.count("*").alias("c")), ["feature"]).select("feature", "s", average_rank().alias("r"))
+    per_row = long.join(ranks, ["feature", "s"]).groupBy("query_id").agg(*[F.max(F.when(F.col("feature") == n, F.col("r"))).alias(n) for n in (*names, "level")])
+    return rounded(per_row.agg(*[F.corr("level", c).alias(c) for c in names]))
+
+
+@query
+def weak_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """Entropy of either model as the signal for a wrong weak answer."""
+    strong = D.probes(spark, sf, "strong").select("query_id", F.col("H").alias("H_strong"))
+    long = R.unpivoted(_role(spark, sf, "fit").join(strong, "query_id"), ["weak_wrong"], ["H", "H_strong"])
+    return rounded(auroc(long, ["feature"], F.col("weak_wrong"), F.col("value")))
+
+
 # Checks and storage
 
 

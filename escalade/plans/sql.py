@@ -299,6 +299,10 @@ SQL: dict[str, str] = {
         union all select 'missing_ids', '', count(*) from base where query_id not in (select query_id from r) having count(*) > 0
         union all select 'mock_backend', 'mock', 1 union all select 'manifest_count', '7', count(*) from r"""),
     "join_check": with_(JOINED, "select count(*) as joined, count(*) filter (has_strong) as with_strong from joined"),
+    "validation_joint": with_(JOINED + ", j as (select * from joined where role = 'fit' and has_strong), js as (select avg(C_query) as mc, stddev_pop(C_query) as sc, avg(H) as mh, stddev_pop(H) as sh from j), jz as (select source, needs_strong as y, round(0.5 * (C_query - mc) / sc + 0.5 * (H - mh) / sh, 12) as s from j, js where C_query is not null), jr as (select *, rank() over (partition by source order by s) + (count(*) over (partition by source, s) - 1) / 2.0::double as r from jz)", f"select source, n, n_pos, {r6('(sr - n_pos * (n_pos + 1) / 2.0) / (n_pos * (n - n_pos))', 'auroc')} from (select source, count(*) as n, count(*) filter (y) as n_pos, sum(r) filter (y) as sr from jr group by source)"),
+    "u_h_redundancy": f"with c as (select user_id, event_type, count(*) as c from events group by all), p as (select user_id, c, c / sum(c) over (partition by user_id) as p from c), x as (select user_id, 1 - max(p) as u, -sum(p * ln(p)) as h from p group by user_id) select count(*) as n, {r6('corr(u, h)', 'r')} from x",
+    "level_correlation": with_(JOINED + ", l as (select *, (vec_id % 4)::double as level from joined where role = 'fit'), f as (select " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0::double as {c}" for c in ("level", "C_length", "C_linguistic", "C_query")) + " from l)", "select " + ", ".join(r6(f"corr(level, {c})", c) for c in ("C_length", "C_linguistic", "C_query")) + " from f"),
+    "weak_ablation": with_(JOINED + ", a as (select w.weak_wrong as y, w.H as hw, s.H as hs from joined w join strong s using (vec_id) where w.role = 'fit'), al as (select 'H' as feature, y, hw as s from a union all select 'H_strong', y, hs from a), ar as (select *, rank() over (partition by feature order by s) + (count(*) over (partition by feature, s) - 1) / 2.0::double as r from al)", f"select feature, n, n_pos, {r6('(sr - n_pos * (n_pos + 1) / 2.0) / (n_pos * (n - n_pos))', 'auroc')} from (select feature, count(*) as n, count(*) filter (y) as n_pos, sum(r) filter (y) as sr from ar group by feature)"),
     "fit_violations": with_(BASE, "select 'evaluation_rows' as \"check\", count(*) as n from base where source = 'src1' and role = 'eval' having count(*) > 0 union all select 'outside_fit', count(*) from base where source = 'src1' and role <> 'fit' having count(*) > 0"),
     "incomplete_rows": with_(JOINED, "select source, count(*) as n from joined where not has_strong group by source"),
     "model_roles": with_(PROBES, "select 'weak' as model_role, count(*) as n from weak union all select 'strong', count(*) from strong"),
