@@ -64,10 +64,10 @@ def is_mc_analysis(task_type: Column, metric: Column) -> Column:
 def surface_prompts(rows: DataFrame, k: int) -> DataFrame:
     """rows(query_id, prompt) once per surface: surface_no, surface_prompt."""
     p = F.col("prompt")
-    labels, texts = T.option_labels(p), T.option_texts(p)
-    forms = T.paraphrase_surfaces(T.question(p), k, F.col("query_id"))
-    built = F.transform(forms, lambda s: F.when(F.size(labels) > 0, T.labelled_prompt(s, labels, texts)).otherwise(T.free_prompt(T.context_prefix(p), s)))
-    return rows.select("*", F.posexplode(built).alias("surface_no", "surface_prompt"))
+    parts = rows.withColumns({"__labels": T.option_labels(p), "__texts": T.option_texts(p), "__question": T.question(p), "__context": T.context_prefix(p)})
+    formed = parts.withColumn("__forms", T.paraphrase_surfaces(F.col("__question"), k, F.col("query_id")))
+    built = F.transform("__forms", lambda s: F.when(F.size("__labels") > 0, T.labelled_prompt(s, F.col("__labels"), F.col("__texts"))).otherwise(T.free_prompt(F.col("__context"), s)))
+    return formed.withColumn("__built", built).select(*rows.columns, F.posexplode("__built").alias("surface_no", "surface_prompt"))
 
 
 def answer_clusters(answers: DataFrame, key: list[str], answer: str = "answer", position: str = "pos") -> DataFrame:
@@ -110,20 +110,20 @@ def stand_in_records(corpus: DataFrame, model_id: str, model_role: str, k: int =
     k of at most 1 probes the prompt alone; U, agreement and mode are null then. Tokens are white-space separated
     words; prices(name, usd_in, usd_out) adds usd_est. paraphraser(rows, k) takes the place of surface_prompts.
     """
-    rows = corpus.withColumns({"labels": T.option_labels(F.col("prompt")), "model": F.lit(model_id)})
     letters = F.array(*[F.lit(x) for x in "ABCDE"])
-    all_probs = S.stand_in_letters(F.col("query_id"), F.col("model"), list("ABCDE"))
-    probs = F.map_filter(all_probs, lambda a, _: F.array_contains(F.slice(letters, 1, F.size("labels")), a))
-    is_mc = F.size("labels") > 0
-    mc = rows.where(is_mc).withColumn("answer_scores", S.distribution_scores(probs)).withColumn("probe", F.lit("mc_letter"))
-    free = rows.where(~is_mc).withColumn("samples", S.stand_in_samples(F.col("query_id"), F.col("model"), n_samples, 0))
+    rows = corpus.withColumns({"labels": T.option_labels(F.col("prompt")), "model": F.lit(model_id)}).withColumns({"is_mc": F.size("labels") > 0, "all_probs": S.stand_in_letters(F.col("query_id"), F.lit(model_id), list("ABCDE"))})
+    rows = rows.withColumn("probs", F.map_filter("all_probs", lambda a, _: F.array_contains(F.slice(letters, 1, F.size("labels")), a))).drop("all_probs")
+    rows = rows.withColumns({"answer_scores": F.when(F.col("is_mc"), S.distribution_scores(F.col("probs"))), "samples": S.stand_in_samples(F.col("query_id"), F.lit(model_id), max(n_samples, 1), 0)})
+    mc, free = rows.where("is_mc"), rows.where("not is_mc")
     clustered = answer_clusters(free.select("query_id", F.posexplode("samples").alias("pos", "answer")), ["query_id"])
     own = ["query_id", F.lit(model_id).alias("model_id"), F.lit(model_role).alias("model_role"), "source", "role"]
-    a = mc.select(*own, "probe", *[F.col(f"answer_scores.{c}").alias(c) for c in ("H", "p_max", "pred", "margin", "top2_mass")])
+    a = mc.select(*own, F.lit("mc_letter").alias("probe"), *[F.col(f"answer_scores.{c}").alias(c) for c in ("H", "p_max", "pred", "margin", "top2_mass")])
     b = free.join(clustered, "query_id").select(*own, F.lit("freeform_clusters").alias("probe"), "H", "p_max", "pred", "margin", "top2_mass")
     several = k > 1
     surfaces = (paraphraser or surface_prompts)(rows, k) if several else rows.withColumns({"surface_no": F.lit(0), "surface_prompt": F.col("prompt")})
-    asked = surfaces.select("query_id", "surface_no", F.greatest(F.size(T.spaced(F.col("surface_prompt"))), F.lit(1)).cast("long").alias("prompt_tokens"), is_mc.alias("is_mc"), F.when(is_mc, S.distribution_scores(probs)["pred"]).otherwise(S.stand_in_samples(F.col("query_id"), F.col("model"), 1, 0)[0]).alias("answer"))
+    # The stand-in answers every surface as it answers the first one.
+    answer = F.when(F.col("is_mc"), F.col("answer_scores.pred")).otherwise(F.col("samples")[0])
+    asked = surfaces.select("query_id", "surface_no", F.greatest(F.size(T.spaced(F.col("surface_prompt"))), F.lit(1)).cast("long").alias("prompt_tokens"), "is_mc", answer.alias("answer"))
     call = lambda rows, pos, n: rows.select("query_id", F.lit(None).cast("double").alias("latency_ms"), "prompt_tokens", F.when(F.col("is_mc"), 0).otherwise(ANSWER_TOKENS * n).cast("long").alias("completion_tokens"), F.lit(1).alias("n_calls"), F.when(F.col("is_mc"), "mc_letter").otherwise("freeform_sample").alias("kind"), pos.alias("pos"))
     calls = call(asked.where("surface_no = 0"), F.lit(0), n_samples).unionByName(call(asked, F.col("surface_no") + 1, 1))
     cost = cost_trace(calls, ["query_id"]).drop("kinds")
