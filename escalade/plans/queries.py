@@ -271,6 +271,16 @@ def pca_project(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.projected(v, G.principal_components(_fit(v)), G.centroid(_fit(v))).select("vec_id", "pc1", "pc2", "pc3"))
 
 
+@query
+def pca_energy(spark: SparkSession, sf: str) -> DataFrame:
+    """Squared lengths of the projections on all components: those of the centred vectors."""
+    v = D.vectors(spark, sf)
+    parts = G.principal_components(_fit(v), 64)
+    moved = G.projected(v, parts, G.centroid(_fit(v)))
+    names = [f"pc{i + 1}" for i in range(len(parts))]
+    return rounded(moved.select("vec_id", F.array(*names).alias("p")).select("vec_id", G.dot(F.col("p"), F.col("p")).alias("energy")))
+
+
 # Probes
 
 

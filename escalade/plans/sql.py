@@ -245,6 +245,7 @@ SQL: dict[str, str] = {
     "centroid": with_(CENTER, f"select i - 1 as i, {r6('m', 'm')} from (select i, avg(v[i]) as m from vecs, range(1, 65) t(i) where vec_id % 5 < 3 group by i)"),
     "centroid_distance": with_(CENTER, f"select vec_id, {r6('1 - ' + DOT.format(a='v', b='c') + ' / (sqrt(' + DOT.format(a='v', b='v') + ') * sqrt(' + DOT.format(a='c', b='c') + '))', 'centroid_distance')} from vecs, cent"),
     "knn_similarity": with_(KNN, f"select vec_id, {r6('avg(1 - d)', 'mean_knn_similarity')} from near group by vec_id"),
+    "pca_energy": with_(CENTER, f"select vec_id, {r6('list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))', 'energy')} from vecs, cent"),
     "lof_score": with_(LOF, f"select vec_id, {r6('lof', 'lof')}, {r6('(lof - m) / s', 'lof_score')} from lof, st"),
     **{f"mc_scores_{w}": with_(PROBES, f"select query_id, pred, {all6(['H', 'p_max', 'margin', 'top2_mass', 'perplexity_H', 'inv_p_max', 'surprisal'])}, n_options::bigint as n_options from {w}") for w in ("weak", "strong")},
     "stand_in_letters": f"""with x as (select 'documents|' || doc_id as q from documents), y as (select q, {SEED.format(salt="mc")} as seed from x),
