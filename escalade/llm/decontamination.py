@@ -110,8 +110,9 @@ def phrases_at(docs: DataFrame, windows: DataFrame, places: DataFrame, doc_id: s
     # The texts of other documents do not travel.
     own = candidate_docs.join(few(by_doc.select("key_id", "key_text")), ["key_id", "key_text"], "left_semi")
     whole = own.join(by_doc, ["key_id", "key_text"])
-    whole = whole.select("key_id", "key_text", words_of(F.col(text)).alias("w"), "cands")
-    hits = whole.select("key_id", "key_text", F.filter("cands", lambda c: F.slice("w", c["start"] + 1, c["n_terms"]) == c["terms"]).alias("h")).where("size(h) > 0")
+    # The words are bound as a variable and the hits are written: neither is made anew for each use.
+    held = F.transform(F.array(words_of(F.col(text))), lambda w: F.filter("cands", lambda c: F.slice(w, c["start"] + 1, c["n_terms"]) == c["terms"]))[0]
+    hits = saved(whole.select("key_id", "key_text", held.alias("h")), "hits").where("size(h) > 0")
     positions = F.array_distinct(F.flatten(F.transform("h", lambda c: F.sequence(c["start"], c["start"] + c["n_terms"] - 1))))
     found = hits.select(
         "key_id", "key_text", F.size(positions).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.col("h.items")))).alias("items"),
