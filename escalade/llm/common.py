@@ -239,10 +239,13 @@ class UnitEncoder:
 
     def _places(self, units: pa.Array) -> np.ndarray:
         """Where units stand in the cache. A full one keeps the units that are needed now and drops the others."""
-        found = pc.index_in(units, value_set=self.known)
-        unknown = found.is_null().to_numpy(zero_copy_only=False)
+        # The cache is probed with the units' table, the smaller one to build.
+        of_known = pc.index_in(self.known, value_set=units)
+        there = np.flatnonzero(of_known.is_valid().to_numpy(zero_copy_only=False))
+        at = np.full(len(units), -1, dtype=np.int64)
+        at[of_known.drop_null().to_numpy()] = there
+        unknown = at < 0
         new = units.filter(pa.array(unknown))
-        at = found.fill_null(0).to_numpy().astype(np.int64)
         if len(self.known) + len(new) > self.LIMIT:
             kept = at[~unknown]
             starts, self.sizes = self.starts[kept], self.sizes[kept]
