@@ -215,10 +215,15 @@ class UnitEncoder:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _parts(self, pre_tokens: list[str]) -> list[list[int]]:
-        """Ids of pre-tokens without line ends."""
+    def _parts(self, pre_tokens: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of pre-tokens without line ends, one after the other, and the number of each one's ids."""
         shown = "\n".join(pre_tokens).encode().decode("latin-1").translate(_STAND_IN).split(chr(_STAND_IN[10])) if pre_tokens else []
-        return [[t.id for t in tokens] for tokens in map(self.model.tokenize, shown)]
+        flat: list[int] = []
+        sizes: list[int] = []
+        for tokens in map(self.model.tokenize, shown):
+            flat += [t.id for t in tokens]
+            sizes.append(len(tokens))
+        return flat, sizes
 
     def _sign(self, pre_token: str) -> list[int]:
         ids = self.signs.get(pre_token)
@@ -269,15 +274,16 @@ class UnitEncoder:
         tails = [u[-n:] for u, n in zip(new.take(pa.array(signed)).to_pylist(), n_signs[signed].tolist(), strict=True)]
         kinds = {t: i for i, t in enumerate(dict.fromkeys(tails))}
         others = [self._other(u) for u in new.filter(pa.array(~plain)).to_pylist()]
-        heads = self._parts(spaced.dictionary.to_pylist())
-        pool = [*heads, *map(self._sign, kinds), *(o or [] for o in others)]
-        pool_size = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool))
-        flat = np.fromiter(itertools.chain.from_iterable(pool), dtype=np.uint32, count=int(pool_size.sum()))
+        head_ids, head_sizes = self._parts(spaced.dictionary.to_pylist())
+        rest = [*map(self._sign, kinds), *(o or [] for o in others)]
+        flat = np.concatenate([np.array(head_ids, dtype=np.uint32), np.fromiter(itertools.chain.from_iterable(rest), dtype=np.uint32)])
+        pool_size = np.array([*head_sizes, *map(len, rest)], dtype=np.int64)
+        n_heads = len(head_sizes)
         # Two rows of the pool for each unit: the head and the signs, or the unit as a whole and nothing.
-        rows = np.full((len(new), 2), len(pool), dtype=np.int64)
+        rows = np.full((len(new), 2), len(pool_size), dtype=np.int64)
         rows[at, 0] = spaced.indices.to_numpy()
-        rows[signed, 1] = len(heads) + np.fromiter(map(kinds.__getitem__, tails), dtype=np.int64, count=len(tails))
-        rows[~plain, 0] = len(heads) + len(kinds) + np.arange(len(others))
+        rows[signed, 1] = n_heads + np.fromiter(map(kinds.__getitem__, tails), dtype=np.int64, count=len(tails))
+        rows[~plain, 0] = n_heads + len(kinds) + np.arange(len(others))
         pool_size = np.append(pool_size, 0)
         pool_start = np.cumsum(pool_size) - pool_size
         sizes = pool_size[rows].sum(axis=1)
